@@ -25,7 +25,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train_lexicon(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxic_documents(docs, rules=toxicity.ToxicityRules(lexicon=lexicon))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

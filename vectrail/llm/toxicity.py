@@ -5,11 +5,17 @@ words are joined by single spaces, and an Aho-Corasick automaton over the
 folded lexicon and the exception phrases runs once over the result.  Terms are
 held between spaces, so a hit is always a whole word.  A map over Arrow
 batches: no shuffle, and only ids and figures come back from Python.
+
+The built-in lexicon is English.  ``train_lexicon`` adds terms of any language
+from labelled documents and takes the weight from built-in ones that labelled
+clean text uses freely.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: English insults and their weights.
 LEXICON: dict[str, float] = {
     "idiot": 2, "moron": 2, "stupid": 1, "trash": 1, "scum": 3, "loser": 2, "pathetic": 1.5, "worthless": 2,
@@ -76,15 +84,13 @@ def fold(text: str) -> str:
 class ToxicityRules:
     """``threshold``: weight for each ``per_words`` words from which a document
     is toxic; ``min_words`` bounds the divisor below, so that one mild word in a
-    tiny text doesn't weigh without limit.  ``strong``: a total weight from
-    which a document is toxic at any length."""
+    tiny text doesn't weigh without limit."""
 
     lexicon: Mapping[str, float] = field(default_factory=lambda: LEXICON)
     exceptions: Sequence[str] = EXCEPTIONS
     per_words: int = 1000
     min_words: int = 20
-    threshold: float = 1.0
-    strong: float = 6.0
+    threshold: float = 5.0
 
 
 def automaton(rules: ToxicityRules) -> ahocorasick.Automaton:
@@ -165,10 +171,85 @@ def score_toxicity(
     density = F.col("weight") * rules.per_words / F.greatest(F.col("n_words"), F.lit(rules.min_words))
     return out.select(
         id_col, "n_words", "n_hits", "weight", F.round(density, 6).alias("density"), "terms",
-        ((F.col("n_hits") > 0) & ((density >= rules.threshold) | (F.col("weight") >= rules.strong))).alias("toxic"),
+        ((F.col("n_hits") > 0) & (density >= rules.threshold)).alias("toxic"),
     )
 
 
 def toxic_documents(docs: DataFrame, **kw) -> DataFrame:
     """Only the toxic ones."""
     return score_toxicity(docs, **kw).filter("toxic")
+
+
+@dataclass(frozen=True)
+class LexiconTraining:
+    """``max_rows``: bound on the labelled rows of each class that are read, in
+    the order of a seeded hash.  A word becomes a term if so many
+    (``min_docs``) toxic training documents hold it and its log-odds reach
+    ``min_log_odds``; its weight is the log-odds divided by ``scale``."""
+
+    max_rows: int = 10_000
+    min_docs: int = 4
+    min_log_odds: float = 3.0
+    scale: float = 2.0
+    seed: int = 17
+
+
+def train_lexicon(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    base: Mapping[str, float] = LEXICON, how: LexiconTraining = LexiconTraining(),
+) -> dict[str, float]:
+    """``base`` and what the labels teach.
+
+    Copies and near copies would pass a document's whole vocabulary off as
+    toxic, so of documents that share one of two min-hashes of their words one
+    is counted.  Labels that are null or whose document is missing are unused;
+    without toxic labels the result is ``base``.
+    """
+    labelled = labels.select(id_col, F.col(label_col).cast("int").alias("__y")).dropna().dropDuplicates([id_col])
+    sizes = {r["__y"]: r["n"] for r in labelled.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(1):
+        return dict(base)
+    share = F.pmod(F.xxhash64(F.lit(how.seed), id_col), F.lit(1_000_000)) / 1e6
+    most = F.lit(0.0)
+    for y, n in sizes.items():
+        most = F.when(F.col("__y") == y, min(1.0, how.max_rows / n)).otherwise(most)
+    sample = labelled.filter(share < most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t, y in zip(*(c.to_pylist() for c in b.columns)):
+                words = sorted(set(fold(t or "").split()))
+                if words:
+                    h = [zlib.crc32(w.encode()) for w in words]
+                    rows.append((zlib.crc32(repr(i).encode()), min(h), min((x * 0x9E3779B1 + 77) & 0xFFFFFFFF for x in h), y, words))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["o", "a", "b", "y", "words"])
+
+    # The sample is bounded by max_rows, so it may be broadcast at any scale.
+    drawn = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(id_col, text_col, "__y")
+    words = written(drawn.mapInArrow(run, "o long, a long, b long, y int, words array<string>"), "toxicity-words")
+    for key in ("a", "b"):
+        words = words.groupBy(key).agg(F.min_by(F.struct("o", *({"a", "b"} - {key}), "y", "words"), F.struct("o", "y")).alias("s")).select(key, "s.*")
+    words = written(words, "toxicity-training")
+    n = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), sum(v for y, v in n.items() if y != 1)
+    known = {fold(t).strip(): t for t in base if " " not in t}
+    counted = (
+        words.select((F.col("y") == 1).cast("long").alias("y"), F.explode("words").alias("w"))
+        .groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    )
+    odds = lambda p, q: math.log((p + 0.5) / (n1 + 1)) - math.log((q + 0.5) / (n0 + 1))
+    ratio = (n1 + 1) / (n0 + 1) * math.exp(how.min_log_odds)
+    terms = dict(base)
+    for r in counted.filter(
+        ((F.col("p") >= how.min_docs) & ((F.col("p") + 0.5) >= F.lit(ratio) * (F.col("q") + 0.5))) | F.col("w").isin(list(known))
+    ).collect():
+        w, p, q = r
+        if w in known:
+            if q >= 3 and odds(p, q) < 1:
+                terms.pop(known[w])
+        else:
+            terms[w] = odds(p, q) / how.scale
+    return terms
