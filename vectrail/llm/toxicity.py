@@ -183,12 +183,13 @@ def toxic_documents(docs: DataFrame, **kw) -> DataFrame:
 @dataclass(frozen=True)
 class LexiconTraining:
     """``max_rows``: bound on the labelled rows of each class that are read, in
-    the order of a seeded hash.  A word becomes a term if so many
-    (``min_docs``) toxic training documents hold it and its log-odds reach
-    ``min_log_odds``; its weight is the log-odds divided by ``scale``."""
+    the order of a seeded hash.  A word becomes a term if ``min_docs`` toxic
+    training documents, and a share ``min_share`` of them, hold it and its
+    log-odds reach ``min_log_odds``; its weight is the log-odds over ``scale``."""
 
     max_rows: int = 10_000
-    min_docs: int = 4
+    min_docs: int = 3
+    min_share: float = 0.004
     min_log_odds: float = 3.0
     scale: float = 2.0
     seed: int = 17
@@ -244,7 +245,7 @@ def train_lexicon(
     ratio = (n1 + 1) / (n0 + 1) * math.exp(how.min_log_odds)
     terms = dict(base)
     for r in counted.filter(
-        ((F.col("p") >= how.min_docs) & ((F.col("p") + 0.5) >= F.lit(ratio) * (F.col("q") + 0.5))) | F.col("w").isin(list(known))
+        ((F.col("p") >= max(how.min_docs, how.min_share * n1)) & ((F.col("p") + 0.5) >= F.lit(ratio) * (F.col("q") + 0.5))) | F.col("w").isin(list(known))
     ).collect():
         w, p, q = r
         if w in known:
