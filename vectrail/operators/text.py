@@ -35,7 +35,11 @@ def bm25(
     if not terms or k <= 0:
         return docs.select(id_col, F.lit(0.0).alias("score")).filter("false")
     condition = predicate(docs, where)
-    words = F.transform(F.array(tokens(F.col(text_col), tokenizer)), lambda t: F.struct(F.size(t).alias("n"), *[F.size(F.filter(t, lambda x, term=term: x == term)).alias(f"t{i}") for i, term in enumerate(terms)]))
+
+    def frequency(t: Column, term: str) -> Column:
+        return F.size(F.filter(t, lambda x: x == term))
+
+    words = F.transform(F.array(tokens(F.col(text_col), tokenizer)), lambda t: F.struct(F.size(t).alias("n"), *[frequency(t, x).alias(f"t{i}") for i, x in enumerate(terms)]))
     base = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), (F.lit(True) if condition is None else condition).alias("__ok"), F.explode(words).alias("w"))
     figures = base.agg(F.count("*").alias("n"), F.avg("w.n").alias("avg"), *[F.count_if(F.col(f"w.t{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hits = base.filter("__ok")
