@@ -122,9 +122,9 @@ def apply_log(records: DataFrame, log: DataFrame, id_col: str = "id") -> DataFra
     dead = known.withColumn("__dead", F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(w))
     live = dead.filter(F.col("__dead").isNull() | (F.col("seq") > F.col("__dead")))
     payload = [c for c in records.columns if c not in (id_col, "metadata") and c in log.columns]
-    folded = live.groupBy(id_col).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in payload], *([F.max_by("metadata", "seq").alias("metadata")] if "metadata" in records.columns else []))
+    folded = live.groupBy(id_col).agg(F.max("seq").alias("__seq"), *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in payload], *([F.max_by("metadata", "seq").alias("metadata")] if {"metadata"} <= {*records.columns} & {*log.columns} else []))
     cleared = records.join(dead.filter("__dead is not null").select(id_col).distinct(), id_col, "left_anti").select(*records.columns)
-    return upsert(cleared, folded, id_col=id_col)
+    return upsert(cleared, folded.drop("__seq"), id_col=id_col)
 
 
 def statistics(records: DataFrame) -> DataFrame:

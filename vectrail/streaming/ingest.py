@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,7 +41,6 @@ def windowed_counts(stream: DataFrame, time_col: str, size: str, keys: list[str]
 
 def embedded(rows: DataFrame, embed: Callable[[list[str]], list], text_col: str = "text", out_col: str = "vector", kind: str = "array<float>") -> DataFrame:
     """``rows`` with the embedding function applied to batches of texts."""
-    import pandas as pd
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
