@@ -83,7 +83,8 @@ def fold(text: str) -> str:
 @dataclass(frozen=True)
 class ToxicityRules:
     """``threshold``: weight for each ``per_words`` words from which a document
-    is toxic; ``min_words`` bounds the divisor below, so that one mild word in a
+    with ``min_hits`` hits is toxic; with fewer it takes ``strong``, so that a
+    stray word in a long text doesn't count; ``min_words`` bounds the divisor below, so that one mild word in a
     tiny text doesn't weigh without limit."""
 
     lexicon: Mapping[str, float] = field(default_factory=lambda: LEXICON)
@@ -91,6 +92,8 @@ class ToxicityRules:
     per_words: int = 1000
     min_words: int = 20
     threshold: float = 5.0
+    min_hits: int = 2
+    strong: float = 15.0
 
 
 def automaton(rules: ToxicityRules) -> ahocorasick.Automaton:
@@ -171,7 +174,7 @@ def score_toxicity(
     density = F.col("weight") * rules.per_words / F.greatest(F.col("n_words"), F.lit(rules.min_words))
     return out.select(
         id_col, "n_words", "n_hits", "weight", F.round(density, 6).alias("density"), "terms",
-        ((F.col("n_hits") > 0) & (density >= rules.threshold)).alias("toxic"),
+        ((F.col("n_hits") > 0) & (density >= F.when(F.col("n_hits") >= rules.min_hits, rules.threshold).otherwise(rules.strong))).alias("toxic"),
     )
 
 
@@ -202,7 +205,7 @@ def train_lexicon(
     """``base`` and what the labels teach.
 
     Copies and near copies would pass a document's whole vocabulary off as
-    toxic, so of documents that share one of two min-hashes of their words one
+    toxic, so of documents that share two of three min-hashes of their words one
     is counted.  Labels that are null or whose document is missing are unused;
     without toxic labels the result is ``base``.
     """
@@ -223,16 +226,17 @@ def train_lexicon(
                 words = sorted(set(fold(t or "").split()))
                 if words:
                     h = [zlib.crc32(w.encode()) for w in words]
-                    rows.append((zlib.crc32(repr(i).encode()), min(h), min((x * 0x9E3779B1 + 77) & 0xFFFFFFFF for x in h), y, words))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["o", "a", "b", "y", "words"])
+                    least = (min((x * m + 77) & 0xFFFFFFFF for x in h) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+                    rows.append((zlib.crc32(repr(i).encode()), *least, y, words))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["o", "a", "b", "c", "y", "words"])
 
     # The sample is bounded by max_rows, so it may be broadcast at any scale.
     drawn = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(id_col, text_col, "__y")
-    words = written(drawn.mapInArrow(run, "o long, a long, b long, y int, words array<string>"), "toxicity-words")
-    for key in ("a", "b"):
-        words = words.groupBy(key).agg(F.min_by(F.struct("o", *({"a", "b"} - {key}), "y", "words"), F.struct("o", "y")).alias("s")).select(key, "s.*")
+    words = written(drawn.mapInArrow(run, "o long, a long, b long, c long, y int, words array<string>"), "toxicity-words")
+    for key in (("a", "b"), ("b", "c"), ("c", "a")):
+        words = words.groupBy(*key).agg(F.min_by(F.struct("o", "a", "b", "c", "y", "words"), F.struct("o", "y")).alias("s")).select("s.*")
     words = written(words, "toxicity-training")
     n = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), sum(v for y, v in n.items() if y != 1)
@@ -249,7 +253,7 @@ def train_lexicon(
     ).collect():
         w, p, q = r
         if w in known:
-            if q >= 3 and odds(p, q) < 1:
+            if q and odds(p, q) < 1:
                 terms.pop(known[w])
         else:
             terms[w] = odds(p, q) / how.scale
