@@ -69,5 +69,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.oracle(),
         "op4_warc_index": warc_index.oracle(),
         "op6_decontamination": decontaminate.oracle(),
+        "op7_ngram_join": ngram_join.oracle(),
         "op8_quality_rules": quality_rules.oracle(),
     }
