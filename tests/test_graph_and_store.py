@@ -106,6 +106,23 @@ def test_schema_rules(spark, tmp_path):
     assert S.collections(spark, root) == ["one", "two"] and S.delete_collection(spark, root, "one") and S.collections(spark, root) == ["two"]
 
 
+def test_store_graph_and_dispatch(spark, tmp_path):
+    db = S.Store(spark, S.CollectionSchema(sparse=True, text="default"))
+    with pytest.raises(ValueError, match="requires graph"):
+        db.traverse("a")
+    db.enable_graph()
+    db.set([{"id": "a", "sparse": {1: 1.0}, "text": "red stone"}, {"id": "b", "sparse": {2: 1.0}}])
+    db.add_edges([{"from_id": "a", "to_id": "b", "edge_type": "rel"}, {"from_id": "b", "to_id": "c", "edge_type": "rel"}])
+    hits = db.query({1: 2.0})
+    assert [r.id for r in hits.collect()] == ["a"] and [r.id for r in db.query("stone").collect()] == ["a"]
+    assert sorted(r.id for r in db.expand(hits).collect()) == ["a", "b"] and db.edge_types() == ["rel"]
+    nodes, inside = db.expand_graph(["a"], 2)
+    assert [r.id for r in nodes.collect()] == ["a", "b", "c"] and inside.count() == 2
+    assert db.shortest_path("a", "c") == ["a", "b", "c"] and db.has_path("a", "c") and db.node_degree("b") == 2 and db.neighbors("a").count() == 1
+    copy = db.persist(str(tmp_path / "copy"))
+    assert len(S.open_store(spark, copy.path)) == 2
+
+
 def test_adapter(spark):
     db = S.Store(spark, S.CollectionSchema(dense=2), embed=lambda texts: [[float(len(t)), 1.0] for t in texts])
     r = RetrievalStore(db)

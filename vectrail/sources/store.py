@@ -153,6 +153,13 @@ class Store:
         changes.write.mode("append").parquet(f"{self.path}/log")
         self._records = mutations.apply_log(self._records, changes)
 
+    def persist(self, path: str) -> Store:
+        """A copy of the state as a store at ``path``."""
+        copy = create(self.spark, path, self.schema, self.embed)
+        copy._records, copy._edges = self.records, self._edges
+        copy.flush()
+        return copy
+
     def info(self) -> dict[str, Any]:
         row = mutations.statistics(self.records).first().asDict()
         return {**row, "edges": self._edges.count(), "version": self.version, "schema": asdict(self.schema), "path": self.path or ":memory:"}
@@ -320,8 +327,68 @@ class Store:
         self._needs("multi", "search_text_rerank")
         return fusion.text_rerank(self._records, words, query, k, candidates, self.schema.text)
 
+    def search_sparse_rerank(self, terms, query: Sequence[Sequence[float]], k: int = 10, candidates: int = 10_000) -> DataFrame:
+        return fusion.sparse_rerank(self.records, terms, query, k, candidates)
+
+    def query(self, q: Any, k: int = 10, **options: Any) -> DataFrame:
+        """The search that fits the query: a mapping is sparse, a list of lists
+        a token matrix, a string is embedded, or BM25 where there is nothing to
+        embed it with."""
+        if isinstance(q, Mapping):
+            return self.search_sparse(q, k, **options)
+        if isinstance(q, str) and self.embed is None:
+            return self.search_text(q, k, **options)
+        if not isinstance(q, str) and len(q) and not isinstance(q[0], (int, float)):
+            return self.search_multi(q, k, **options)
+        return self.search(q, k, **options)
+
     # ----------------------------------------------------------------- graph
 
+    def enable_graph(self) -> None:
+        self.schema = CollectionSchema(**{**asdict(self.schema), "graph": True})
+
+    def enable_text(self, tokenizer: str = "default") -> None:
+        self.schema = CollectionSchema(**{**asdict(self.schema), "text": preset(tokenizer)})
+
+    def get_edges(self, node: str, direction: str = "both", edge_type: str | None = None) -> DataFrame:
+        return graph.get_edges(self.edges, node, direction, edge_type)
+
+    def neighbors(self, node: str, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
+        return graph.neighbors(self.edges, node, direction, edge_type)
+
+    def node_degree(self, node: str, direction: str = "both", edge_type: str | None = None) -> int:
+        return graph.node_degree(self.edges, node, direction, edge_type)
+
+    def traverse(self, start: str, max_depth: int = 1, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
+        return graph.traverse(self.edges, start, max_depth, direction, edge_type)
+
+    def traverse_edges(self, start: str, max_depth: int = 1, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
+        return graph.traverse_edges(self.edges, start, max_depth, direction, edge_type)
+
+    def shortest_path(self, start: str, end: str, max_depth: int = 10, direction: str = "outgoing", edge_type: str | None = None) -> list[str] | None:
+        return graph.shortest_path(self.edges, start, end, max_depth, direction, edge_type)
+
+    def has_path(self, start: str, end: str, max_depth: int = 10, direction: str = "outgoing", edge_type: str | None = None) -> bool:
+        return graph.has_path(self.edges, start, end, max_depth, direction, edge_type)
+
+    def expand_graph(self, seeds: Sequence[str], max_depth: int = 1, direction: str = "outgoing", edge_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes in order, and the edges between them, around all seeds."""
+        nodes, edges = graph.subgraph(self.edges, seeds, max_depth, direction, edge_type)
+        return nodes.orderBy("id"), edges
+
+    def subgraph(self, start: str, max_depth: int = 1, direction: str = "outgoing", edge_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+        return self.expand_graph([start], max_depth, direction, edge_type)
+
+    def expand(self, found: DataFrame, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
+        """A search's ids and their direct neighbours."""
+        return graph.expand(self.edges, found, direction, edge_type)
+
+    def edge_types(self) -> list[str]:
+        return sorted(r[0] for r in graph.edge_types(self.edges).collect())
+
+    def node_ids(self) -> DataFrame:
+        return graph.node_ids(self.edges)
+
     def add_edges(self, edges: DataFrame | Sequence[Mapping[str, Any]]) -> int:
         """Upsert edges; the number of new ones."""
         self._needs("graph", "add_edges")
