@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..sources.shared import shared_dir, written
+
+__all__ = ["replacing", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    A local session that has none gets a temporary folder of its own; on a
-    cluster a missing setting is an error, for a folder of one machine would
-    be lost with it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vectrail-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends here,
-    and a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_key(text: Column | str) -> list[Column]:
-    """Two independent 64-bit hashes that stand for a text in joins."""
-    return [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
-
-
 def replacing(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without its own columns of these names (any case): an operator's
     output columns take the place of an input's columns of the same name."""
