@@ -51,7 +51,7 @@ class StoreRules:
     mix_refresh: int = 1024
     ids: int = 50_257
     gain: int = 24
-    batch_blocks: int = 64
+    batch_blocks: int = 32
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -77,7 +77,7 @@ class Tokenizer:
     at a time between line breaks; a text with two white spaces in a row is
     encoded as it is."""
 
-    def __init__(self, path: str, remember: int = 600_000) -> None:
+    def __init__(self, path: str, remember: int = 250_000) -> None:
         self.encoder = encoder(path)
         self.line = self.encoder.encode_ordinary("\n")[0]
         self.remember = remember
@@ -320,7 +320,7 @@ def encode_blocks(blocks: list[np.ndarray], r: StoreRules) -> list[bytes]:
     """Each block by itself: header, lane lengths, lanes."""
     longest = max((-(-len(x) // r.lanes) for x in blocks), default=0)
     lanes = len(blocks) * r.lanes
-    low, width = np.zeros((longest, lanes), np.uint64), np.ones((longest, lanes), np.uint64)
+    low, width = np.zeros((longest, lanes), np.uint32), np.ones((longest, lanes), np.uint32)
     count = np.zeros(lanes, np.int64)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for k, i in enumerate(order):
@@ -491,6 +491,8 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             close()
         if ready:
             yield flush()
+        # Workers outlive their tasks; what Arrow holds back would add up.
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
