@@ -72,3 +72,23 @@ def test_edges(spark, documents):
     two = documents([(1, "same line here"), (1, "same line here"), (1, "same line here"), (2, "same line here")])
     assert all(r.lines_dropped == 0 for r in L.dedup_lines(two, rules=RULES).collect())  # two documents only
     assert L.dedup_lines(df.filter("false"), rules=RULES).count() == 0
+
+
+def test_varying_names_and_timestamps(documents):
+    rng = random.Random(7)
+    names = [f"{a}{b}" for a in "ka lo mi nu re sa".split() for b in "na po ri".split()]
+    docs = []
+    for i in range(72):
+        who, own = names[i % 18], " ".join(rng.choices([f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"], k=12))
+        lines = [f"2024-01-{i % 28 + 1:02} 10:33:{i % 60:02} INFO user {who} logged in", f"Posted by {who} at the main office today", f"{who} and {names[i % 7]} like this very much indeed here"]
+        docs.append((i, "\n".join([own, lines[i % 3], f"{own} again"])))
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in L.dedup_lines(documents(docs)).collect()}
+    # No name stands in ten documents of a template; the text's own lines stay.
+    for i, text in docs:
+        first, _, last = text.split("\n")
+        assert got[i] == (f"{first}\n{last}", 1)
+
+
+def test_masked_places_are_no_evidence(documents):
+    docs = [(i, f"{i} {i + 1} {i + 2} w{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(60)]
+    assert all(r.lines_dropped == 0 for r in L.dedup_lines(documents(docs)).collect())

@@ -1,12 +1,17 @@
 """Line dedup by a log-template tree.
 
-A line's tokens lead it down a tree of fixed depth: token count, then the
-leading tokens, those with a digit generalised.  Within a leaf lines join the
-template they resemble most, and positions at which they differ become
-variable.  Lines of templates that recur in enough documents are dropped.
-
-Three passes over the texts, each a map: leaf counts (24 bytes a line), the
-tokens of lines in leaves that could hold a recurring template, and the final
+A line's tokens lead it down a tree of fixed depth: token count, then as many
+leading tokens as ``depth`` says (none by default, for these may vary too),
+those with a digit masked.  Within a leaf lines join the template they resemble
+most, and positions at which they differ become variable.  Lines of templates
+that recur in enough documents are dropped.
+
+All lines of a template agree in its constant places, so in some of the pairs of
+neighbouring places.  Pairs are counted over the whole corpus, and a line too few
+of whose pairs recur is in no recurring template: it isn't compared.
+
+Three passes over the texts, each a map: lines and pairs (24 bytes a line, 4 a
+pair), the tokens of lines that could be in a recurring template, and the final
 cut.  No pass shuffles whole texts unless the recurring lines are too many to
 broadcast.
 """
@@ -26,17 +31,20 @@ from pyspark.sql import functions as F
 from .common import replacing, written
 
 WILD = "<*>"
+#: A masked token's hash; those of others are odd, and 0 is a variable place.
+MASK = 2
 _DIGIT = re.compile(r"\d")
 
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``depth``: leading tokens that choose a leaf.  ``similarity``: share of
-    a line's tokens that equal the template's, place by place, from which the
-    line joins it; variable places count as unequal.  ``min_documents``: a
-    template of so many distinct documents recurs."""
+    """``depth``: leading tokens that choose a leaf; lines that differ in one of
+    them share no template.  ``similarity``: share of a line's tokens that equal
+    the template's, place by place, from which the line joins it; variable
+    places count as unequal, places masked in both don't count.
+    ``min_documents``: a template of so many distinct documents recurs."""
 
-    depth: int = 3
+    depth: int = 0
     similarity: float = 0.7
     min_documents: int = 10
     broadcast_lines: int = 500_000
@@ -58,19 +66,39 @@ def _keys(tokens: list[str], depth: int) -> tuple[int, int]:
     return _h(f"{len(tokens)}\x00" + "\x00".join(tokens[:depth])), _h("\x00".join(tokens))
 
 
+def _pairs(tokens: list[str], leaf: int, similarity: float) -> tuple[list[int], int]:
+    """Hashes of the line's disjoint pairs of neighbours, by place, and how many
+    of them all lines of its template share at least.  Of few tokens none may
+    differ, and the line itself is the one key."""
+    width = len(tokens)
+    differ = width - int(np.ceil(similarity * width - 1e-9))
+    if differ <= 0:
+        keys, need = [f"{leaf} " + "\x00".join(tokens)], 1
+    elif (need := width // 2 - differ) > 0:
+        keys = [f"{leaf} {i} {tokens[i]} {tokens[i + 1]}" for i in range(0, width - 1, 2)]
+    else:
+        keys, need = [str(leaf)], 1
+    return [xxhash.xxh32_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 31) for k in keys], need
+
+
 class Leaf:
     """The templates of one leaf: token hashes by place, 0 where variable."""
 
     def __init__(self, width: int, similarity: float) -> None:
-        self.need = max(1, int(np.ceil(similarity * width - 1e-9)))
+        self.similarity = similarity
         self.rows, self.n = np.zeros((4, width), np.int64), 0
 
     def place(self, tokens: np.ndarray) -> int:
         """The template the line joins or founds; the first of equals."""
         if self.n:
-            equal = ((self.rows[: self.n] == tokens) & (self.rows[: self.n] != 0)).sum(1)
-            k = int(equal.argmax())
-            if equal[k] >= self.need:
+            same = self.rows[: self.n] == tokens
+            equal, places = same.sum(1), np.full(self.n, len(tokens))
+            mask = tokens == MASK
+            if mask.any():
+                both = same[:, mask].sum(1)
+                equal, places = equal - both, places - both
+            k = int((equal / np.maximum(1, places)).argmax())
+            if equal[k] >= max(1, int(np.ceil(self.similarity * places[k] - 1e-9))):
                 self.rows[k][self.rows[k] != tokens] = 0
                 return k
         if self.n == len(self.rows):
@@ -95,8 +123,7 @@ def templates(lines: list[tuple[int, bytes]], similarity: float) -> list[int]:
 
 
 def _token_hashes(tokens: list[str]) -> bytes:
-    # 0 means variable, so a masked token never counts as equal.
-    return np.array([0 if t == WILD else _h(t) | 1 for t in tokens], np.int64).tobytes()
+    return np.array([MASK if t == WILD else _h(t) | 1 for t in tokens], np.int64).tobytes()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,7 +137,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, leaf, line = [], [], []
+            doc, leaf, line, pairs, need = [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for x in set(t.split("\n")):
                     if tokens := masked(x):
@@ -118,14 +145,21 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         doc.append(d)
                         leaf.append(a)
                         line.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, leaf, line)], names=["doc", "leaf", "line"])
+                        own, least = _pairs(tokens, a, similarity)
+                        pairs.append(own)
+                        need.append(least)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(x, pa.int64()) for x in (doc, leaf, line)], pa.array(pairs, pa.list_(pa.int32())), pa.array(need, pa.int32())],
+                names=["doc", "leaf", "line", "pairs", "need"],
+            )
 
     texts = _rows(docs, id_col, text_col)
-    found = written(texts.mapInArrow(scan, "doc long, leaf long, line long"), "lines-found")
-    hot = written(found.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_documents).select("leaf"), "lines-leaves")
-    few = hot.count() <= rules.broadcast_lines
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    candidates = found.join(small(hot), "leaf", "left_semi")
+    found = written(texts.mapInArrow(scan, "doc long, leaf long, line long, pairs array<int>, need int"), "lines-found")
+    small = lambda df: F.broadcast(df) if df.count() <= rules.broadcast_lines else df
+    hot = written(found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_documents).select("pair"), "lines-pairs")
+    met = found.select("doc", "line", "need", F.explode("pairs").alias("pair")).join(small(hot), "pair", "left_semi")
+    likely = written(met.groupBy("doc", "line", "need").agg(F.count("*").alias("n")).filter("n >= need").select("line").distinct(), "lines-likely")
+    candidates = written(found.select("doc", "leaf", "line").join(small(likely), "line", "left_semi"), "lines-candidates")
     counted = written(candidates.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc").alias("doc")), "lines-counted")
     # One exemplar of each line: only its document is cut again.
     wanted = counted.groupBy("doc").agg(F.collect_list("line").alias("lines"))
