@@ -52,3 +52,23 @@ def test_edges(documents):
     every = M.mix_sources(df, rules=M.MixRules(weights={"a": 9.0, "b": 50000.0, "": 2.0}))
     assert sorted(r.n_tokens for r in every.collect()) == [2, 2, 2, 2, 3, 50_000]
     assert M.mix_sources(df.filter("false")).count() == 0
+
+
+def test_a_stray_source_does_not_limit_the_others(documents):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(5, 60)), "abbb"[i % 4]) for i in range(800)] + [(900, "w " * 20, None)]
+    had = sum(len(t.split()) for _, t, _ in rows)
+    tokens = Counter()
+    for r in M.mix_sources(documents(rows, source=None)).collect():
+        tokens[r.source] += r.n_tokens
+    assert tokens[None] == 20 and 0.89 * had < sum(tokens.values()) <= 0.9 * had
+    # "s" can't give its half of 1,000: it gives all it has, the rest comes 3 to 1.
+    some = [*rows[:800], (901, "w " * 100, "s")]
+    rules = M.MixRules(weights={"s": 4, "a": 3, "b": 1}, budget=1000)
+    tokens = Counter()
+    for r in M.mix_sources(documents(some), rules=rules).collect():
+        tokens[r.source] += r.n_tokens
+    assert tokens == {"s": 100, "a": 675, "b": 225}
+    assert M.mix_sources(documents(some), rules=M.MixRules(budget=10**9)).count() == len(some)
+    even = [(i, "w " * 10, "abcd"[i % 4]) for i in range(400)]
+    assert Counter(r.source for r in M.mix_sources(documents(even), rules=M.MixRules(budget=2000)).collect()) == dict.fromkeys("abcd", 50)

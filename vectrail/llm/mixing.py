@@ -31,14 +31,17 @@ def token_count(text: Column) -> Column:
 class MixRules:
     """``weights``: target share by source; sources it doesn't name get
     ``other``.  Without it a source's weight is its token total to the power
-    ``temperature``.  ``budget``: tokens in all; by default the most that the
-    sources can give at these weights.  ``window``: remainder that the exact
-    program is left to fit."""
+    ``temperature``.  ``budget``: tokens in all; by default ``share`` of all
+    tokens, or with ``weights`` the most that the sources can give at exactly
+    these.  A source too small for its share of a budget gives all it has, and
+    the others make up for it by their weights.  ``window``: remainder that the
+    exact program is left to fit."""
 
     weights: Mapping[str, float] | None = None
     other: float = 0.0
     temperature: float = 0.7
     budget: int | None = None
+    share: float = 0.9
     window: int = 16_384
     seed: int = 23
 
@@ -120,10 +123,21 @@ def mix_sources(
             weight = F.when(F.col("__s") == s, float(w)).otherwise(weight)
     weighed = totals.withColumn("__w", weight).filter("__w > 0")
     # A scale of one row: tokens for each unit of weight.
-    least = weighed.agg(F.min(F.col("__t") / F.col("__w")).alias("__u"), F.sum("__w").alias("__all"))
-    unit = F.col("__u") if rules.budget is None else F.lit(float(rules.budget)) / F.col("__all")
-    targets = weighed.crossJoin(F.broadcast(least)).select(
-        "__s", F.least(F.floor(unit * F.col("__w") + 1e-6), F.col("__t")).cast("long").alias("__target")
+    if rules.budget is None and rules.weights is not None:
+        unit = weighed.agg(F.min(F.col("__t") / F.col("__w")).alias("__u"))
+    else:
+        # Sources by how soon the scale exhausts them: what those before it give
+        # leaves the rest to it and to those after it, unless it is exhausted too.
+        # Past the first that isn't, the scale only falls.
+        soon = Window.orderBy(F.col("__t") / F.col("__w"), "__s")
+        budget = F.lit(float(rules.budget)) if rules.budget is not None else F.sum("__t").over(Window.partitionBy()) * F.lit(rules.share)
+        before = F.coalesce(F.sum("__t").over(soon.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        after = F.sum("__w").over(soon.rowsBetween(0, Window.unboundedFollowing))
+        levels = weighed.select((F.col("__t") / F.col("__w")).alias("__r"), ((budget - before) / after).alias("__u"))
+        unit = levels.filter("__u <= __r").agg(F.max("__u").alias("__u"))
+    # No scale: the budget exhausts every source.
+    targets = weighed.crossJoin(F.broadcast(unit)).select(
+        "__s", F.coalesce(F.least(F.floor(F.col("__u") * F.col("__w") + 1e-6), F.col("__t")), F.col("__t")).cast("long").alias("__target")
     )
 
     def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
