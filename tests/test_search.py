@@ -148,3 +148,31 @@ def test_encodings_and_pooling(spark):
     assert len(pooled) == 2 and sorted(np.sign(pooled[:, 0])) == [-1, 1]
     assert len(multivector.pool_matrix(x, 0)) == 6 and len(multivector.pool_matrix(x[:1], 2)) == 1
     assert multivector.pool_tokens(df, 2).selectExpr("max(size(multi))").first()[0] <= 4
+
+
+def test_bounded_cells_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 16)), rng.normal(size=(60, 16)) * 0.05 + 9])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id int, vector array<double>")
+    c = dense.train_cells(df, 16)
+    indexed = dense.assign_cells(df, c).cache()
+    for i in [*range(0, 300, 25), 310]:
+        assert ids(dense.probe_top_k(indexed, x[i], 10, c, None)) == np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:10].tolist()
+    assert len(ids(dense.probe_top_k(indexed, x[0], 400, c, None))) == 360  # fewer than k
+    with pytest.raises(ValueError, match="nprobe"):
+        dense.probe_top_k(indexed, x[0], 10, c, None, metric="dot")
+
+
+def test_registered_cells_find_what_brute_force_finds(spark, monkeypatch):
+    from pathlib import Path
+
+    from vectrail.plans import registry
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("the driver's tables aren't here")
+    run = registry.queries()
+    v = registry._vectors(spark, "/root/testdata/sf0.01")
+    x = {r.id: list(r.vector) for r in v.collect()}
+    for i in (0, 57, 211, 402):
+        monkeypatch.setattr(registry, "_first", lambda *_, i=i: x[i])
+        assert run["dense_cells"](spark, "/root/testdata/sf0.01").collect() == run["dense_topk_l2"](spark, "/root/testdata/sf0.01").collect()

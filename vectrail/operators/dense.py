@@ -232,9 +232,33 @@ def assign_cells(records: DataFrame, centroids: np.ndarray, vector_col: str = "v
     return records.mapInArrow(run, schema)
 
 
-def probe_top_k(indexed: DataFrame, query: Sequence[float], k: int, centroids: np.ndarray, nprobe: int = 8, **kw) -> DataFrame:
+def probe_top_k(indexed: DataFrame, query: Sequence[float], k: int, centroids: np.ndarray, nprobe: int | None = 8, **kw) -> DataFrame:
     """``top_k`` within the ``nprobe`` closest cells: approximate, exact if all
-    are probed."""
+    are probed.  Without ``nprobe``, L2 only: within the cells that may hold one
+    of the k closest, by the distance found in the first cells, the centroids'
+    distances and the cells' radii; exact."""
     q = np.array(query, float)
-    cells = np.argsort(((centroids - q) ** 2).sum(1), kind="stable")[:nprobe].tolist()
-    return top_k(indexed.filter(F.col("cell").isin(cells)), query, k, **kw)
+    gaps = np.sqrt(((centroids - q) ** 2).sum(1))
+    cells = np.argsort(gaps, kind="stable")
+    if nprobe is not None:
+        return top_k(indexed.filter(F.col("cell").isin(cells[:nprobe].tolist())), query, k, **kw)
+    if V.metric_name(kw.get("metric", "l2")) != "l2":
+        raise ValueError("only L2 distances bound the cells: give nprobe")
+    radii = cell_radii(indexed, centroids, kw.get("vector_col", "vector"))
+    found = [r["distance"] for r in top_k(indexed.filter(F.col("cell").isin(cells[:8].tolist())), query, k, **kw).collect()]
+    edge = found[-1] if len(found) == k and math.isfinite(found[-1]) else math.inf
+    near = [j for j, r in radii.items() if not gaps[j] - r > edge * (1 + 1e-6) + 1e-6]
+    return top_k(indexed.filter(F.col("cell").isin(near)), query, k, **kw)
+
+
+def cell_radii(indexed: DataFrame, centroids: np.ndarray, vector_col: str = "vector") -> dict[int, float]:
+    """The largest distance of a vector to its centroid, by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = b.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.sqrt(((matrix(b.column(1)) - centroids[cell]) ** 2).sum(1)))], names=["cell", "r"])
+
+    held = indexed.filter(F.col(vector_col).isNotNull()).select("cell", vector_col)
+    return {r["cell"]: r["r"] for r in held.mapInArrow(run, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect()}

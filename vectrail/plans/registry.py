@@ -157,10 +157,10 @@ def dense_rescored(spark: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def dense_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate: the closest cells only."""
+    """The cells that may hold one of the closest; exact."""
     v = _vectors(spark, d)
     c = dense.train_cells(v, 16)
-    return _round(dense.probe_top_k(dense.assign_cells(v, c), _first(spark, d), 10, c, 6), "distance", "score")
+    return _round(dense.probe_top_k(dense.assign_cells(v, c), _first(spark, d), 10, c, None), "distance", "score")
 
 
 # ------------------------------------------------------------------- filters
