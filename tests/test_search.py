@@ -176,3 +176,29 @@ def test_registered_cells_find_what_brute_force_finds(spark, monkeypatch):
     for i in (0, 57, 211, 402):
         monkeypatch.setattr(registry, "_first", lambda *_, i=i: x[i])
         assert run["dense_cells"](spark, "/root/testdata/sf0.01").collect() == run["dense_topk_l2"](spark, "/root/testdata/sf0.01").collect()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_encodings_recall(spark, monkeypatch, sf):
+    from pathlib import Path
+
+    from vectrail.plans import registry
+
+    d = f"/root/testdata/{sf}"
+    if not Path(d).exists():
+        pytest.skip("the driver's tables aren't here")
+    x = {r.id: np.array(r.multi, float) for r in registry._multi(spark, d).collect()}
+    names, t = sorted(x), np.array([x[i] for i in sorted(x)])
+    few = max(200, int(len(t) * registry.CANDIDATES))
+    encoder, queries = multivector.Encoder(16, registry.ENCODING), t[:100]
+    codes = np.array([encoder.encode(m, False) for m in t])
+    best = lambda s, n: np.argsort(-s, kind="stable")[:n]
+    exact = [best(np.einsum("qd,ntd->nqt", q, t).max(2).sum(1), 10) for q in queries]
+    hits = [np.isin(e, best(codes @ encoder.encode(q, True), few)).mean() for e, q in zip(exact, queries)]
+    assert np.mean(hits) >= 0.95
+    got = []
+    for i in (0, 31, 77):
+        monkeypatch.setattr(registry, "_multi_query", lambda *_, i=i: t[i].tolist())
+        found = ids(registry.queries()["maxsim_encoded"](spark, d))
+        got.append(len(set(found) & {names[j] for j in exact[i]}) / 10)
+    assert np.mean(got) >= 0.9

@@ -162,14 +162,23 @@ def encode_documents(records: DataFrame, token_dim: int, config: EncodingConfig
     return records.withColumn(out_col, encode(F.col(multi_col)))
 
 
-def encoded_top_k(encoded: DataFrame, query: Sequence[Sequence[float]], k: int, encoder: Encoder, rerank: int | None = 20, id_col: str = "id", multi_col: str = "multi", fde_col: str = "fde") -> DataFrame:
+def encoded_top_k(encoded: DataFrame, query: Sequence[Sequence[float]], k: int, encoder: Encoder, rerank: int | None = 20, share: float = 0.0, id_col: str = "id", multi_col: str = "multi", fde_col: str = "fde") -> DataFrame:
     """The k best by the encodings' inner product; with ``rerank``, the k * rerank
-    best of these in the order of their MaxSim."""
+    best of these, or where that is more this ``share`` of all records, in the
+    order of their MaxSim."""
     from .dense import top_k
 
     q = check_tokens(query, encoder.token_dim)
     if rerank is not None and rerank <= 0:
         raise ValueError("rerank must be positive")
+    if not 0 <= share <= 1:
+        raise ValueError("share must be from 0 to 1")
+    if rerank is not None and share > 0:
+        rough = encoded.filter(F.col(fde_col).isNotNull()).withColumn("__rough", dot_product(F.col(fde_col), vector(encoder.encode(q, True))))
+        # A cut-off in place of a sort: the share grows with the table.
+        n, cut = rough.agg(F.count("*"), F.percentile_approx("__rough", 1 - share, 100_000)).first()
+        if n * share > k * rerank:
+            return maxsim_top_k(rough.filter(F.col("__rough") >= cut), query, k, id_col=id_col, multi_col=multi_col)
     near = top_k(encoded, encoder.encode(q, True), k * (rerank or 1), "dot", id_col=id_col, vector_col=fde_col)
     if rerank is None:
         return near.select(id_col, (-F.col("distance")).alias("score"), "distance")
