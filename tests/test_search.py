@@ -61,6 +61,40 @@ def test_batch_equals_single_and_join(spark, metric):
     assert one == [a[3, k] for k in range(1, 6)]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_batch_with_few_finite_distances(spark, metric):
+    rows = [(i, [float("nan"), 1.0] if i >= 5 else [float(i), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([("a", [1.0, 1.0])], "query_id string, q array<double>")
+    for k in (3, 8):
+        one = [r.id for r in dense.top_k(df, [1.0, 1.0], k, metric).collect()]
+        assert [r.id for r in dense.batch_top_k(df, q, k, metric).orderBy("rank").collect()] == one and len(one) == k
+
+
+def test_batch_over_many_arrow_batches_and_large_norms(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 6)).round(1) * 1e9
+    df = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        q = df.limit(20).selectExpr("id as query_id", "vector as q")
+        got = [(r.query_id, r.id) for r in dense.batch_top_k(df, q, 7).orderBy("query_id", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    d = np.sqrt(((x[:, None] - x[None, :20]) ** 2).sum(2))
+    assert got == [(f"v{j:04}", f"v{i:04}") for j in range(20) for i in sorted(range(3000), key=lambda i: (d[i, j], i))[:7]]
+
+
+def test_value_at_is_exact(spark):
+    from vectrail.functions import vectors as V
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=900), np.full(500, 0.25), [1e30, -1e30]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for place in (0, 1, 300, 700, 1000, len(x) - 1):
+        assert V.value_at(df, place, collect=5, buckets=7) == np.sort(x)[place]
+
+
 def test_rescored_and_cells(spark):
     from vectrail.functions import vectors as V
 

@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = {
@@ -173,21 +173,42 @@ class ScalarParams:
         return ScalarParams((high - low) / 255, low)
 
 
-def train_scalar(records: DataFrame, vector_col: str = "vector", low: float = 0.01, high: float = 0.99, sample: int = 100_000) -> ScalarParams:
+def value_at(values: DataFrame, place: int, collect: int = 10_000, buckets: int = 4096) -> float:
+    """The value at ``place`` (from 0) of column ``x`` in ascending order,
+    exactly: histograms that narrow to the bucket of the place, one scan each,
+    without a sort or shuffle of values."""
+    low, high, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    while low < high and n > collect:
+        inside = values.filter(F.col("x").between(low, high))
+        bucket = F.floor((F.col("x") - low) / (high - low) * buckets)
+        rows = inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # buckets + 1 at most
+        for r in sorted(rows, key=lambda r: r["lo"]):
+            if place < r["n"]:
+                break
+            place -= r["n"]
+        if (r["lo"], r["hi"]) == (low, high):  # one bucket: the range is at the limit of precision
+            break
+        low, high, n = r["lo"], r["hi"], r["n"]
+    if low == high:
+        return low
+    return sorted(r[0] for r in values.filter(F.col("x").between(low, high)).collect())[place]
+
+
+def train_scalar(records: DataFrame, vector_col: str = "vector", low: float = 0.01, high: float = 0.99, sample: int | None = None) -> ScalarParams:
     """Range between two percentiles of all values, taken at place floor(n * p)
-    of the ordered values.  Of more than ``sample`` values about so many, drawn
-    by a hash of the vector, are ordered; the bound keeps the sort small."""
+    of the ordered values.  With ``sample``, of about so many values, drawn by a
+    hash of the vector."""
     total = records.agg(F.sum(F.size(vector_col))).first()[0] or 0
     if not total:
         raise ValueError("no values to train on")
-    part = min(1.0, sample / total)
-    chosen = records if part == 1.0 else records.filter(F.pmod(F.xxhash64(vector_col), F.lit(1_000_000)) < int(part * 1_000_000))
-    values = chosen.select(F.explode(vector_col).alias("x")).select(_d(F.col("x")).alias("x"))
+    chosen = records
+    if sample is not None and sample < total:
+        chosen = records.filter(F.pmod(F.xxhash64(vector_col), F.lit(2**62)) < max(1, int(sample / total * 2**62)))
+    values = chosen.select(F.explode(vector_col).alias("x")).select(_d(F.col("x")).alias("x")).filter("x is not null and not isnan(x)")
     n = values.count()
-    ranked = values.withColumn("r", F.row_number().over(Window.orderBy("x")) - 1)
-    at = {min(int(n * p), n - 1) for p in (low, high)}
-    found = {r["r"]: r["x"] for r in ranked.filter(F.col("r").isin(list(at))).collect()}
-    return ScalarParams.of_range(found[min(int(n * low), n - 1)], found[min(int(n * high), n - 1)])
+    if not n:  # a small sample may be empty
+        return train_scalar(records, vector_col, low, high)
+    return ScalarParams.of_range(*(value_at(values, min(int(n * p), n - 1)) for p in (low, high)))
 
 
 def quantize(v: Column, p: ScalarParams) -> Column:

@@ -8,9 +8,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors as V
 from ..functions.filters import ColumnFields, Fields, JsonFields, compile_filter
@@ -83,12 +85,13 @@ def batch_top_k(
     query_col: str = "q", max_query_values: int = 8_000_000,
 ) -> DataFrame:
     """(query_id, id, ``distance``, ``rank``) of the k closest records of every
-    query.
+    query, ties by id, NaN distances last.
 
-    Queries of up to ``max_query_values`` numbers in all go to the scan tasks,
-    which keep k rows a query by matrix products over Arrow batches; the
-    distances of the survivors are computed anew without the cancellation of
-    the product form.  A larger query side is joined, its rows ranked in groups.
+    Queries go to the scan tasks in blocks of at most ``max_query_values``
+    numbers: each block is one scan, and the result doesn't depend on the blocks.
+    A task keeps k rows a query by matrix products over Arrow batches; the
+    distances of the survivors are computed anew without the cancellation of the
+    product form.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -98,19 +101,10 @@ def batch_top_k(
     condition = predicate(records, where)
     if condition is not None:
         found = found.filter(condition)
-    values = queries.agg(F.sum(F.size(query_col))).first()[0] or 0
-    if values <= max_query_values:
-        rows = queries.select(query_id, query_col).collect()
-        names, q = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-        if len(rows):
-            if not np.isfinite(q).all():
-                raise ValueError("a query holds NaN or Infinity")
-            if m == "cosine" and not (q != 0).any(axis=1).all():
-                raise ValueError("cosine distance to a zero vector is undefined")
-        near = _block_top_k(found, names, q, queries.schema[query_id].dataType, k, m, id_col, vector_col, query_id)
-    else:
-        pairs = found.select(id_col, vector_col).crossJoin(queries.select(query_id, query_col))
-        near = pairs.select(query_id, id_col, V.distance(m, F.col(vector_col), F.col(query_col)).alias("distance"))
+    near, kind = None, queries.schema[query_id].dataType
+    for names, q in _query_blocks(queries.select(query_id, query_col), m, max_query_values):
+        part = _block_top_k(found, names, q, kind, k, m, id_col, vector_col, query_id)
+        near = part if near is None else near.unionAll(part)
     w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(id_col).asc())
     best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     if max_distance is not None:
@@ -118,6 +112,24 @@ def batch_top_k(
     return best.select(query_id, id_col, "distance", "rank")
 
 
+def _query_blocks(queries: DataFrame, m: str, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of the queries, block by block; one empty block if there
+    are none."""
+    names: list = []
+    rows: list = []
+    held, some = 0, False
+    for name, v in queries.toLocalIterator():
+        if rows and held + len(v) > most:
+            yield names, np.array(rows, float)
+            names, rows, held, some = [], [], 0, True
+        check_query(v, 1, m, len(rows[0]) if rows else None)
+        names.append(name)
+        rows.append(v)
+        held += len(v)
+    if rows or not some:
+        yield names, np.array(rows, float)
+
+
 def _exact(m: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if m == "l2":
         return np.sqrt(((x - q) ** 2).sum(1))
@@ -135,39 +147,87 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+class _Nearest:
+    """The k closest rows of each query over the batches of a task."""
+
+    def __init__(self, q: np.ndarray, k: int, m: str, kind: pa.DataType) -> None:
+        self.q, self.k, self.m = q, k, m
+        self.q2 = (q * q).sum(1)
+        self.edge = np.full(len(q), np.inf)  # what a row's rough distance may be, at most
+        self.held = pa.schema([("q", pa.int64()), ("d", pa.float64()), ("nan", pa.bool_()), ("id", kind)]).empty_table()
+        self.new: list[pa.Table] = []
+        self.n_new = 0
+
+    def add(self, ids: pa.Array, x: np.ndarray) -> None:
+        n2 = (x * x).sum(1)
+        largest, width = float(np.sqrt(np.nanmax(n2, initial=0.0))), x.shape[1]
+        # Single precision does for a first look, where nothing overflows.
+        kind = np.float32 if max(largest, float(np.sqrt(self.q2.max(initial=0.0)))) < 1e15 and np.isfinite(n2).all() else np.float64
+        unit = np.finfo(kind).eps * (width + 16)
+        near, size = x.astype(kind), n2.astype(kind)
+        take = min(len(x), self.k)
+        for first in range(0, len(self.q), 256):
+            part = self.q[first : first + 256]
+            own = np.sqrt(self.q2[first : first + 256])
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                rough = part.astype(kind) @ near.T
+                if self.m == "l2":
+                    rough *= -2
+                    rough += size
+                    slack = unit * (2 * own * largest + largest**2)
+                elif self.m == "dot":
+                    np.negative(rough, out=rough)
+                    slack = unit * own * largest
+                else:
+                    rough /= -np.sqrt(size)
+                    slack = unit * own
+            edge = self.edge[first : first + 256]
+            open_ = np.flatnonzero(np.isinf(edge))
+            if len(open_) and take < len(x):
+                clean = np.where(np.isnan(rough[open_]), np.inf, rough[open_])
+                edge = edge.copy()
+                # Rounding may swap rows by twice the slack; ties all stay.
+                edge[open_] = np.partition(clean, take - 1, axis=1)[:, take - 1] + 2 * np.nan_to_num(slack[open_], nan=np.inf)
+            with np.errstate(invalid="ignore"):
+                # Not "rough <= edge": a NaN may be among the closest of few.
+                qi, xi = np.nonzero(~(rough > (edge + 2 * slack)[:, None]) if np.isinf(edge).any() else rough <= (edge + 2 * slack)[:, None])
+            d = _exact(self.m, x[xi], part[qi])
+            lost = np.isnan(d)
+            self.new.append(pa.table({"q": pa.array(qi + first), "d": pa.array(np.where(lost, np.inf, d)), "nan": pa.array(lost), "id": ids.take(pa.array(xi))}, schema=self.held.schema))
+            self.n_new += len(qi)
+            if take == self.k:
+                self.edge[first : first + 256] = np.minimum(self.edge[first : first + 256], edge)
+        if self.n_new > 4 * self.k * len(self.q) + 100_000:
+            self.settle()
+
+    def settle(self) -> None:
+        t = pa.concat_tables([self.held, *self.new]).combine_chunks()
+        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("q", "d", "nan", "id")], null_placement="at_start"))
+        q = t["q"].to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+        self.held, self.new, self.n_new = t.filter(pa.array(rank < self.k)), [], 0
+
+
 def _block_top_k(found: DataFrame, names: list, q: np.ndarray, name_kind: T.DataType, k: int, m: str, id_col: str, vector_col: str, query_id: str) -> DataFrame:
     schema = T.StructType([T.StructField(query_id, name_kind), T.StructField(id_col, found.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    block = found.sparkSession.sparkContext.broadcast((names, q))  # at most max_query_values numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = block.value
         if not names:
             return
-        arrow_names = pa.array(names)
+        best = _Nearest(q, k, m, kinds[1])
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(1))
-            n2 = (x * x).sum(1)
-            # A margin past k holds what rounding in the product form may swap.
-            take = min(len(x), k + 4)
-            for first in range(0, len(q), 256):
-                part = q[first : first + 256]
-                dots = part @ x.T
-                if m == "l2":
-                    rough = n2[None, :] - 2 * dots
-                elif m == "dot":
-                    rough = -dots
-                else:
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        rough = np.nan_to_num(-dots / np.sqrt(n2)[None, :], nan=np.inf)
-                if take < len(x):
-                    # Ties at the edge all stay, for the id to decide.
-                    edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                    qi, xi = np.nonzero(rough <= edge[:, None] + 1e-9)
-                else:
-                    qi, xi = np.nonzero(np.ones_like(rough, bool))
-                yield pa.RecordBatch.from_arrays(
-                    [arrow_names.take(pa.array(qi + first)), b.column(0).take(pa.array(xi)), pa.array(_exact(m, x[xi], part[qi]))], names=schema.names
-                )
+            for first in range(0, b.num_rows, 8192):
+                part = b.slice(first, 8192)
+                best.add(part.column(0).cast(kinds[1]), matrix(part.column(1)))
+        best.settle()
+        t = best.held
+        d = np.where(t["nan"].to_numpy(), np.nan, t["d"].to_numpy())
+        out = pa.table([pa.array(names, kinds[0]).take(t["q"].combine_chunks()), t["id"], pa.array(d)], names=schema.names)
+        yield from out.combine_chunks().to_batches(max_chunksize=65_536)
 
     return found.select(id_col, vector_col).mapInArrow(run, schema)
 
@@ -200,8 +260,11 @@ def train_cells(records: DataFrame, cells: int, vector_col: str = "vector", samp
         raise ValueError("no vectors to train on")
     part = records.filter(F.col(vector_col).isNotNull()).select(vector_col)
     if n > sample:
-        part = part.filter(F.pmod(F.xxhash64(F.lit(seed), vector_col), F.lit(1_000_000)) < int(sample / n * 1_000_000))
+        # 62 bits of a hash, so that the share of no table rounds to nothing.
+        part = part.filter(F.pmod(F.xxhash64(F.lit(seed), vector_col), F.lit(2**62)) < max(1, int(sample / n * 2**62)))
     x = np.array([r[0] for r in part.collect()], float)
+    if not len(x):  # equal vectors share a hash: of few kinds all may fall out
+        x = np.array([records.filter(F.col(vector_col).isNotNull()).select(F.min(vector_col)).first()[0]], float)
     x = x[np.lexsort(x.T[::-1])]
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[: min(cells, len(x))]].copy()

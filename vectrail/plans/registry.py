@@ -140,7 +140,7 @@ _SQ8 = """
 
 
 def _params(spark: SparkSession, d: str) -> V.ScalarParams:
-    return V.train_scalar(_vectors(spark, d), sample=2**62)
+    return V.train_scalar(_vectors(spark, d))
 
 
 @_register(f"WITH {_SQ8} SELECT id, list_sum(q)::BIGINT AS code_sum, round(list_sum(list_transform(q, lambda v: (v * (hi - lo) / 255 + lo) ^ 2)), 4) AS norm2 FROM c")
