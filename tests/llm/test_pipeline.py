@@ -24,7 +24,7 @@ def test_stages(spark):
             assert decontaminate.find_contaminated(docs, common.table(spark, DATA, "benchmark")).count() == 0
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     blocks = common.written(P.STAGES[-1][1](spark, docs, DATA), "test")
-    plain = token_store.encoder(token_store.VOCABULARY)
+    plain = token_store.encoder(token_store.vocabulary(token_store.VOCABULARY))
     want = sorted((r.doc_id, plain.encode_ordinary(r.text)) for r in docs.collect())
     assert sorted((r.doc_id, list(r.ids)) for r in token_store.read_blocks(blocks).collect()) == want
     run = P.run(spark, DATA)

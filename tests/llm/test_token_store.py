@@ -22,6 +22,39 @@ def test_round_trip(ids, repeat):
     assert (S.decode_block(data[0], RULES) == x).all() and (S.decode_block(data[1], RULES) == x[: len(x) // 2]).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20)), min_size=1, max_size=200), st.integers(0, 12))
+def test_histories_like_plain_counting(rows, small):
+    c, x = (np.array(v) for v in zip(*rows))
+    got = S._history(c.astype(np.uint64), x, small)
+    for i in range(len(x)):
+        own = x[:i][c[:i] == c[i]].tolist()
+        assert [int(g[i]) for g in got] == [len(own), len(set(own)), own.count(x[i]), sum(v < x[i] for v in own)]
+
+
+@needs_vocabulary
+def test_mixing_beats_order_0():
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("the driver's tables aren't here")
+    ids, _ = S.Tokenizer(S.vocabulary(S.VOCABULARY)).batch(pq.read_table(path, columns=["text"])["text"].combine_chunks())
+    x = ids[:65_536]
+    counts, bits = np.ones(50_257), 0.0
+    for t, k in enumerate(x.tolist()):  # adaptive order 0, up to date at every id
+        bits -= np.log2(counts[k] / (50_257 + 24 * t))
+        counts[k] += 24
+    (data,) = S.encode_blocks([x], S.StoreRules())
+    assert 8 * len(data) < 0.9 * bits and (S.decode_block(data) == x).all()
+
+
+def test_a_block_of_one_id_and_of_all():
+    for x in (np.zeros(65_536, np.uint16), np.arange(50_257).astype(np.uint16), np.zeros(1, np.uint16)):
+        (data,) = S.encode_blocks([x], S.StoreRules())
+        assert (S.decode_block(data) == x).all()
+
+
 def test_predictable_ids_shrink():
     rng = np.random.default_rng(0)
     phrase = rng.integers(0, 50_257, 50).astype(np.uint16)
@@ -47,9 +80,9 @@ def test_damage_is_found():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="aB1 .,'\n\t é中  ", max_size=40)), min_size=1, max_size=6))
 def test_pieces_give_the_whole_texts_ids(texts):
-    ids, n = S.Tokenizer(S.VOCABULARY, remember=40).batch(pa.array(texts, pa.string()))
+    ids, n = S.Tokenizer(S.vocabulary(S.VOCABULARY), remember=40).batch(pa.array(texts, pa.string()))
     cut = np.concatenate(([0], np.cumsum(n)))
-    plain = S.encoder(S.VOCABULARY)
+    plain = S.encoder(S.vocabulary(S.VOCABULARY))
     assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [plain.encode_ordinary(t) for t in texts]
 
 
@@ -65,7 +98,7 @@ def test_every_token_comes_back(spark, documents):
             got[-1][1].extend(p.ids)
         else:
             got.append([p.doc_id, list(p.ids)])
-    plain = S.encoder(S.VOCABULARY)
+    plain = S.encoder(S.vocabulary(S.VOCABULARY))
     assert got == [[i, plain.encode_ordinary(t or "")] for i, t in rows]
     assert blocks.selectExpr("max(tokens)").first()[0] <= 500
     assert S.token_blocks(df.filter("false"), rules=RULES).count() == 0

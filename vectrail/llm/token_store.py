@@ -3,18 +3,20 @@
 Texts become token ids of a public byte-level BPE; documents are laid end to
 end in blocks, each coded on its own and checksummed.
 
-Model.  Orders 2 and 1 each predict the id that last followed the same two ids
-or one id in the block.  How often either prediction held lately, and whether
-they agree, chooses a mixing context; the mixture gives the order-2 id, the
-order-1 id and the rest their share of the interval, as learnt in that context,
-brought up to date every ``mix_refresh`` ids.  The rest is shared out by order
-0: the counts of ids, brought up to date every ``refresh`` ids.
-
-Coder.  A carry-propagating range coder with 48-bit state.  Each block has
-``lanes`` coders that take the ids in turn.  What the model says of every
-position follows from the block's ids by sorting, so that encoding is numpy
-over whole blocks, and the coders of many blocks step together.  Decoding goes
-id by id.
+Model.  Orders 0, 1 and 2 each predict the next id by how often ids followed
+the last none, one and two ids in the block so far; the counts of orders 1 and 2
+are up to date at every id, those of order 0 every ``refresh`` ids.  The three
+distributions are mixed linearly.  An order's weight depends on how often its
+context occurred and how many different ids followed; it is learnt within the
+block, from the share that the order had in what came, and brought up to date
+every ``mix_refresh`` ids.
+
+Coder.  A carry-propagating range coder with 48-bit state, driven by the mixed
+cumulative frequencies.  Each block has ``lanes`` coders that take the ids in
+turn.  What the model says of every position follows from the block's ids by
+sorting, so that encoding is numpy over whole blocks, and the coders of many
+blocks step together.  Decoding goes id by id within a block; blocks are
+independent, so that they are decoded in parallel.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,37 +41,55 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_MIX, _TOTAL = 15, 30
+#: Least share of order 0, in 2**30ths, so that every id has a part.
+_FLOOR = 1 << 21
+
+
 @dataclass(frozen=True)
 class StoreRules:
-    """``block_tokens``: most ids of a block; a longer document continues in
-    the next.  ``ids``: size of the id space.  ``gain``: weight of one
-    occurrence against the one that every id has from the start."""
+    """``block_tokens``: most ids of a block, 65,536 at most; a longer document
+    continues in the next.  ``ids``: size of the id space.  ``gain``: weight of
+    one occurrence in order 0, where a new id's is 1 or more.
+    ``prior``: occurrences that an order's first weight counts for."""
 
     vocabulary: str = VOCABULARY
     block_tokens: int = 65_536
     lanes: int = 32
-    refresh: int = 4096
-    mix_refresh: int = 1024
+    refresh: int = 512
+    mix_refresh: int = 2048
     ids: int = 50_257
     gain: int = 24
+    prior: int = 4
     batch_blocks: int = 32
 
+    def __post_init__(self) -> None:
+        if not 0 < self.block_tokens <= 65_536 or self.gain * 65_536 + self.ids > _FLOOR:
+            raise ValueError("a block has 1 to 65,536 ids, and all counts fit the least share of order 0")
+
 
 # ---------------------------------------------------------------- tokenizing
 
 
-def encoder(path: str):
+def vocabulary(path: str) -> bytes:
+    """The file's content, read where the plan is made: executors get it with
+    the task and need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(data: bytes):
     """tiktoken's encoder of a file of base64 tokens and ranks.  It is kept at
     the library's module, which outlives a task in its worker, unlike the
     globals of a function that came with the task."""
     import tiktoken
 
     kept = tiktoken.__dict__.setdefault("_vectrail_encoders", {})
-    if path not in kept:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        kept[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return kept[path]
+    key = zlib.crc32(data), len(data)
+    if key not in kept:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+        kept[key] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[key]
 
 
 class Tokenizer:
@@ -77,8 +98,8 @@ class Tokenizer:
     at a time between line breaks; a text with two white spaces in a row is
     encoded as it is."""
 
-    def __init__(self, path: str, remember: int = 250_000) -> None:
-        self.encoder = encoder(path)
+    def __init__(self, data: bytes, remember: int = 250_000) -> None:
+        self.encoder = encoder(data)
         self.line = self.encoder.encode_ordinary("\n")[0]
         self.remember = remember
         self.forget()
@@ -154,86 +175,163 @@ class Tokenizer:
 # --------------------------------------------------------------------- model
 
 
-def _previous(key: np.ndarray, kind: type) -> np.ndarray:
-    """For each of at most 65,536 positions the last one before it with the
-    same key, or -1."""
-    n = len(key)
-    s = np.sort((key.astype(kind) << kind(16)) | np.arange(n, dtype=kind))
-    at = (s & kind(0xFFFF)).astype(np.int32)
-    s >>= kind(16)
-    out = np.empty(n, np.int32)
-    out[at[:1]] = -1
-    out[at[1:]] = np.where(s[1:] == s[:-1], at[:-1], -1)
-    return out
+def _sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (48 bits) in order, and the places of at most 65,536 that they come
+    from; equal keys by place."""
+    s = np.sort((key << np.uint64(16)) | np.arange(len(key), dtype=np.uint64))
+    return s >> np.uint64(16), (s & np.uint64(0xFFFF)).astype(np.int64)
 
 
-#: Mixing contexts: how well either order did (0: no prediction, 1: a miss or
-#: none before, 2: a hit, 3: two in a row), and whether they agree.
-_CONTEXTS = 32
-_MIX, _TOTAL = 15, 30
-#: Least share of the rest, in 2**15ths, so that every id has a part.
-_LEAST = 512
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where the run of equal keys that holds each place begins."""
+    n = np.arange(len(key))
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    return np.maximum.accumulate(np.where(fresh, n, 0))
+
+
+def _smaller_before(start: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """For places in runs (``start``: where a place's run begins), how many
+    earlier places of the run have a smaller value, of values of so many bits: bit
+    by bit from the top, values part into those without and with it, in order, and
+    one with it leaves behind the earlier ones of its run without."""
+    n = len(x)
+    place, left, less = np.arange(n, dtype=np.uint16), start.astype(np.int32), np.zeros(n, np.int32)
+    x = x.astype(np.uint16)
+    for bit in range(bits - 1, -1, -1):
+        one = ((x >> np.uint16(bit)) & np.uint16(1)).astype(bool)
+        zero = ~one
+        rank = np.cumsum(zero, dtype=np.int32)
+        total = int(rank[-1]) if n else 0
+        rank -= zero
+        before = rank[left]
+        i, j = np.flatnonzero(zero), np.flatnonzero(one)
+        b = before[j]
+        less = np.concatenate((less[i], less[j] + rank[j] - b))
+        left = np.concatenate((before[i], left[j] - b + np.int32(total)))
+        x, place = np.concatenate((x[i], x[j])), np.concatenate((place[i], place[j]))
+    out = np.empty(n, np.int64)
+    out[place] = less
+    return out
 
 
-def _shares(seen: np.ndarray) -> np.ndarray:
-    """(..., contexts, 2): parts of 2**15 for the order-2 and the order-1 id,
-    from the (..., contexts, 3) outcomes so far.  Whole numbers only: the
-    decoder gets the same."""
-    k = np.arange(_CONTEXTS)
-    c2, c1, agree = k >> 3, k >> 1 & 3, k & 1
-    scale = (1 << _MIX) - _LEAST
-    part = (seen[..., :2] + 1) * scale // (seen.sum(-1) + 3)[..., None]
-    return part * np.stack([c2 > 0, (c1 > 0) & (agree == 0)], -1)
+def _history(context: np.ndarray, x: np.ndarray, small: int = 12) -> tuple[np.ndarray, ...]:
+    """For each place of a block (``x``: ranks of its ids), among the earlier ones of the same context:
+    how many there are, how many different ids, how many have this id, and how
+    many a smaller one."""
+    n = len(x)
+    key, at = _sorted_places(context)
+    start = _starts(key)
+    ids = x[at].astype(np.int64)
+    count = np.arange(n) - start
+    pair, place = _sorted_places((start.astype(np.uint64) << np.uint64(16)) | ids.astype(np.uint64))
+    same = np.empty(n, np.int64)
+    same[place] = np.arange(n) - _starts(pair)
+    fresh = np.cumsum(same == 0) - (same == 0)
+    kinds = fresh - fresh[start]
+    less = np.zeros(n, np.int64)
+    size = np.bincount(start, minlength=n)[start]
+    # Small runs by distance, large ones by bits.
+    active, d = np.flatnonzero((count > 0) & (size <= small)), 1
+    while len(active):
+        less[active] += ids[active - d] < ids[active]
+        d += 1
+        active = active[count[active] >= d]
+    large = np.flatnonzero(size > small)
+    if len(large):
+        less[large] = _smaller_before(_starts(start[large]), ids[large], int(x.max()).bit_length())
+    out = []
+    for v in (count, kinds, same, less):
+        w = np.empty(n, np.int64)
+        w[at] = v
+        out.append(w)
+    return tuple(out)
+
+
+#: Mixing contexts: 0 for a context not met before, else by the logarithms of
+#: how often it was and of how many ids followed.
+_CONTEXTS = 49
+_LOG = np.zeros(65_537, np.int64)
+for _k in range(1, 17):
+    _LOG[1 << _k :] = _k
+_ONE = 1 << _MIX
+
+
+def _context(count: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.where(count == 0, 0, 1 + np.minimum(_LOG[count], 7) * 6 + np.minimum(_LOG[kinds], 5))
+
+
+def _first_weight(count: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return (count << (_MIX + 1)) // np.maximum(1, 2 * count + 3 * kinds)
+
+
+def _base(kinds: int, r: StoreRules) -> int:
+    """What every id counts for in order 0 beside its occurrences: in all about
+    as much as the first occurrences, which tell how often a new one comes."""
+    return max(1, (r.gain * kinds + r.ids // 2) // r.ids)
+
+
+def _part(a: np.ndarray, b: np.ndarray | int, n: np.ndarray) -> np.ndarray:
+    """a * b // n.  Products are below 2**52, quotients at most 2**30 and n
+    below 2**22: what is off a whole number is so by 2**-22 at least, so that the
+    truncated quotient of doubles is exact."""
+    return (a * b / n).astype(np.int64)
 
 
 def decisions(x: np.ndarray, r: StoreRules) -> tuple[np.ndarray, np.ndarray]:
-    """(low, width) in 2**30ths of every id of a block under the mixture."""
+    """(low, width) in 2**30ths of every id of a block under the mixture.  Whole
+    numbers only: the decoder gets the same."""
     n = len(x)
-    p1 = np.empty(n, np.uint32)
+    p1 = np.empty(n, np.uint64)
     p1[0], p1[1:] = r.ids, x[:-1]
-    p2 = np.empty(n, np.uint32)
+    p2 = np.empty(n, np.uint64)
     p2[0], p2[1:] = r.ids, p1[:-1]
-    ids = np.empty(n + 1, np.int32)
-    ids[:n], ids[n] = x, -1  # place -1 stands for "none"
-    context = None
-    guess, hit = [], []
-    for b in (_previous((p2.astype(np.uint64) << np.uint64(16)) ^ p1, np.uint64), _previous(p1, np.uint32)):
-        g = ids[b]
-        h = np.zeros(n + 1, np.int8)
-        np.equal(g, ids[:n], out=h[:n], casting="unsafe")
-        last = h[b]
-        before = np.append(b, np.int32(-1))[b]
-        c = (b >= 0).astype(np.int8) + last + (last & h[before])
-        context = c if context is None else context * 4 + c
-        guess.append(g)
-        hit.append(h[:n])
-    context = (context * 2 + (guess[0] == guess[1])).astype(np.int32)
-    hit2, hit1 = hit[0], hit[1] & ~hit[0] & 1
-    got = 2 - 2 * hit2 - hit1
-    # The outcomes before each stretch of ``mix_refresh`` ids.
-    stretch = np.arange(n, dtype=np.int32) // r.mix_refresh
-    rows = int(stretch[-1]) + 1
-    stretch *= _CONTEXTS
-    stretch += context
-    seen = np.bincount(stretch * 3 + got, minlength=rows * _CONTEXTS * 3).reshape(rows, _CONTEXTS, 3)
-    share = _shares(np.cumsum(seen, 0) - seen).reshape(-1, 2)
-    m2, m1 = share[:, 0][stretch], share[:, 1][stretch]
-    low, width = np.where(hit1, m2, 0) << (_TOTAL - _MIX), np.where(hit2, m2, m1) << (_TOTAL - _MIX)
-    counts = np.ones(r.ids)
-    miss = got == 2
+    orders = []
+    # Ids by rank among those that occur.
+    seen = np.zeros(1 << 16, bool)
+    seen[x] = True
+    used = np.flatnonzero(seen)
+    rank = (np.cumsum(seen) - 1)[x]
+    for context in (p1, (p2 << np.uint64(17)) | p1):
+        count, kinds, same, less = _history(context, rank)
+        orders.append((np.maximum(count, 1), same, less, _context(count, kinds), _first_weight(count, kinds)))
+    (n1, same1, less1, b1, f1), (n2, same2, less2, b2, f2) = orders
+    # Order 0 over the ids that occur; every id has a base besides.
+    cum, own, total = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    met = np.zeros(len(used) + 1, np.int64)
+    ids = x.astype(np.int64)
     for a in range(0, n, r.refresh):
-        at = np.flatnonzero(miss[a : a + r.refresh]) + a
-        part = x[at]
-        cum = np.cumsum(counts)
-        used = m2[at] + m1[at]
-        rest = ((1 << _MIX) - used).astype(float) * (1 << (_TOTAL - _MIX))
-        # Below 2**53, and quotients are off a whole number by 2**-21 at least:
-        # the truncated division is exact.
-        high = (rest * cum[part] / cum[-1]).astype(np.int64)
-        lo = (rest * (cum[part] - counts[part]) / cum[-1]).astype(np.int64)
-        low[at] = lo + (used << (_TOTAL - _MIX))
-        width[at] = high - lo
-        counts += r.gain * np.bincount(x[a : a + r.refresh], minlength=r.ids)
+        part = rank[a : a + r.refresh]
+        up, base = np.cumsum(met), _base(int(np.count_nonzero(met)), r)
+        cum[a : a + r.refresh] = base * ids[a : a + r.refresh] + r.gain * up[part]
+        own[a : a + r.refresh] = base + r.gain * met[part + 1]
+        total[a : a + r.refresh] = base * r.ids + r.gain * a
+        met[1:] += np.bincount(part, minlength=len(used))
+    low, width = np.empty(n, np.int64), np.empty(n, np.int64)
+    s1, t1, s2, t2 = (np.zeros(_CONTEXTS, np.int64) for _ in range(4))
+    scale = (1 << _TOTAL) - _FLOOR
+    for a in range(0, n, r.mix_refresh):
+        i = slice(a, min(n, a + r.mix_refresh))
+        c1, c2 = b1[i], b2[i]
+        w2 = ((s2[c2] + r.prior * f2[i]) << _MIX) // (t2[c2] + (r.prior << _MIX))
+        w1 = ((s1[c1] + r.prior * f1[i]) << _MIX) // (t1[c1] + (r.prior << _MIX))
+        w2[c2 == 0], w1[c1 == 0] = 0, 0
+        a2 = (w2 * scale) >> _MIX
+        a1 = ((_ONE - w2) * w1 >> _MIX) * scale >> _MIX
+        a0 = (1 << _TOTAL) - a2 - a1
+        lo2, lo1, lo0 = _part(a2, less2[i], n2[i]), _part(a1, less1[i], n1[i]), _part(a0, cum[i], total[i])
+        e2 = _part(a2, less2[i] + same2[i], n2[i]) - lo2
+        e1 = _part(a1, less1[i] + same1[i], n1[i]) - lo1
+        e0 = _part(a0, cum[i] + own[i], total[i]) - lo0
+        low[i], width[i] = lo2 + lo1 + lo0, e2 + e1 + e0
+        r2 = _part(e2, _ONE, width[i])
+        r1 = _part(e1, _ONE, e1 + e0)
+        rest = _ONE - r2
+        # Sums stay far below 2**53.
+        s2 += np.bincount(c2, r2, _CONTEXTS).astype(np.int64)
+        t2 += np.bincount(c2, minlength=_CONTEXTS) << _MIX
+        s1 += np.bincount(c1, r1 * rest >> _MIX, _CONTEXTS).astype(np.int64)
+        t1 += np.bincount(c1, rest, _CONTEXTS).astype(np.int64)
     return low, width
 
 
@@ -345,7 +443,7 @@ def encode_blocks(blocks: list[np.ndarray], r: StoreRules) -> list[bytes]:
         own = coded[k * r.lanes : (k + 1) * r.lanes]
         body = np.array([len(o) // 2 for o in own], "<u4").tobytes() + b"".join(own)
         x = blocks[i]
-        out[i] = struct.pack(_HEAD, b"VTB1", len(x), zlib.crc32(body, zlib.crc32(x.astype("<u2").tobytes())), r.lanes, 0) + body
+        out[i] = struct.pack(_HEAD, b"VTB2", len(x), zlib.crc32(body, zlib.crc32(x.astype("<u2").tobytes())), r.lanes, 0) + body
     return out
 
 
@@ -355,7 +453,7 @@ def decode_block(data: bytes, r: StoreRules = StoreRules()) -> np.ndarray:
         raise ValueError("a block is cut short")
     magic, n, crc, lanes, _ = struct.unpack_from(_HEAD, data)
     body = data[struct.calcsize(_HEAD) :]
-    if magic != b"VTB1" or len(body) < 4 * lanes:
+    if magic != b"VTB2" or len(body) < 4 * lanes:
         raise ValueError("not a block")
     at, coders = 4 * lanes, []
     for k in np.frombuffer(body, "<u4", lanes).tolist():
@@ -374,43 +472,70 @@ def decode_block(data: bytes, r: StoreRules = StoreRules()) -> np.ndarray:
 
 def _decode(n: int, coders: list[_Decoder], r: StoreRules) -> list[int]:
     ids: list[int] = []
-    last1: dict = {}  # context -> (id that followed, how well it did)
-    last2: dict = {}
-    seen, fresh = np.zeros((_CONTEXTS, 3), np.int64), np.zeros((_CONTEXTS, 3), np.int64)
-    counts, cum, share, total = np.ones(r.ids, np.int64), None, None, 0
+    # Context -> ids that followed, in order and as often as they did, and how
+    # many are different.
+    known1: dict = {}
+    known2: dict = {}
+    s1, t1, s2, t2 = ([0] * _CONTEXTS for _ in range(4))
+    new1, tot1, new2, tot2 = ([0] * _CONTEXTS for _ in range(4))
+    counts, cum, total = np.zeros(r.ids + 1, np.int64), [], 0
     p1 = p2 = r.ids
-    up = _TOTAL - _MIX
+    scale, log = (1 << _TOTAL) - _FLOOR, _LOG.tolist()
     for t in range(n):
         if t % r.refresh == 0:
             if t:
-                counts += r.gain * np.bincount(ids[t - r.refresh :], minlength=r.ids)
-            cum = np.cumsum(counts) - counts
-            total = int(cum[-1] + counts[-1])
+                counts[1:] += np.bincount(ids[t - r.refresh :], minlength=r.ids)
+            cum = (r.gain * np.cumsum(counts) + _base(int(np.count_nonzero(counts)), r) * np.arange(r.ids + 1)).tolist()
+            total = cum[-1]
         if t % r.mix_refresh == 0:
-            seen, fresh = seen + fresh, np.zeros((_CONTEXTS, 3), np.int64)
-            share = _shares(seen).tolist()
-        g1, c1 = last1.get(p1, (-1, 0))
-        g2, c2 = last2.get((p2, p1), (-1, 0))
-        context = c2 * 8 + c1 * 2 + (g1 == g2)
-        m2, m1 = share[context]
+            for to, part in ((s1, new1), (t1, tot1), (s2, new2), (t2, tot2)):
+                for k, v in enumerate(part):
+                    to[k] += v
+                    part[k] = 0
+        e = known1.get(p1)
+        l1, k1 = e if e else ((), 0)
+        g = known2.get((p2, p1))
+        l2, k2 = g if g else ((), 0)
+        n1, n2, c1, c2, w1, w2 = len(l1), len(l2), 0, 0, 0, 0
+        if n1:
+            c1 = 1 + min(log[n1], 7) * 6 + min(log[k1], 5)
+            w1 = ((s1[c1] + r.prior * ((n1 << _MIX + 1) // (2 * n1 + 3 * k1))) << _MIX) // (t1[c1] + (r.prior << _MIX))
+        if n2:
+            c2 = 1 + min(log[n2], 7) * 6 + min(log[k2], 5)
+            w2 = ((s2[c2] + r.prior * ((n2 << _MIX + 1) // (2 * n2 + 3 * k2))) << _MIX) // (t2[c2] + (r.prior << _MIX))
+        a2 = (w2 * scale) >> _MIX
+        a1 = ((_ONE - w2) * w1 >> _MIX) * scale >> _MIX
+        a0 = (1 << _TOTAL) - a2 - a1
+        n1, n2 = n1 or 1, n2 or 1
         coder = coders[t % len(coders)]
         v = coder.peek()
-        used = (m2 + m1) << up
-        if v < m2 << up:
-            x = g2
-            coder.take(0, m2 << up)
-        elif v < used:
-            x = g1
-            coder.take(m2 << up, m1 << up)
-        else:
-            rest = (1 << _TOTAL) - used
-            x = int(np.searchsorted(cum, ((v - used + 1) * total - 1) // rest, side="right")) - 1
-            c = int(cum[x])
-            lo = rest * c // total
-            coder.take(used + lo, rest * (c + int(counts[x])) // total - lo)
-        fresh[context, 0 if g2 == x else 1 if g1 == x else 2] += 1
-        last1[p1] = (x, 1 if g1 != x else min(3, max(c1, 1) + 1))
-        last2[(p2, p1)] = (x, 1 if g2 != x else min(3, max(c2, 1) + 1))
+        # The last id whose interval begins at v or before.
+        x, top = 0, r.ids
+        at = (0, 0, 0)
+        while top - x > 1:
+            mid = (x + top) >> 1
+            m2, m1, m0 = a2 * bisect_left(l2, mid) // n2, a1 * bisect_left(l1, mid) // n1, a0 * cum[mid] // total
+            if m2 + m1 + m0 <= v:
+                x, at = mid, (m2, m1, m0)
+            else:
+                top = mid
+        e2 = a2 * bisect_right(l2, x) // n2 - at[0]
+        e1 = a1 * bisect_right(l1, x) // n1 - at[1]
+        e0 = a0 * cum[x + 1] // total - at[2]
+        coder.take(sum(at), e2 + e1 + e0)
+        r2 = (e2 << _MIX) // (e2 + e1 + e0)
+        new2[c2] += r2
+        tot2[c2] += _ONE
+        new1[c1] += (e1 << _MIX) // (e1 + e0) * (_ONE - r2) >> _MIX
+        tot1[c1] += _ONE - r2
+        for known, key, own, k in ((known1, p1, l1, k1), (known2, (p2, p1), l2, k2)):
+            if not own:
+                known[key] = [[x], 1]
+                continue
+            place = bisect_left(own, x)
+            if place == len(own) or own[place] != x:
+                known[key][1] = k + 1
+            own.insert(place, x)
         ids.append(x)
         p2, p1 = p1, x
     return ids
@@ -423,7 +548,8 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(``shard``, ``block``, ``doc_ids``, ``n_tokens``, ``continued``,
     ``tokens``, ``payload``): a row for each block of a shard, in order.
 
-    A shard is a task's part of the input.  ``n_tokens`` has the ids of each
+    A shard is a task's part of the input, so it follows the input's layout.
+    ``n_tokens`` has the ids of each
     document in this block; ``continued`` says that the first document began in
     the block before.  A null or empty text has no ids but keeps its place in
     the lists, as do repeated rows and null ids.  No rows give no blocks.  Other
@@ -439,7 +565,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(rules.vocabulary)
+        tokenizer = Tokenizer(words.value)
         limit, number = rules.block_tokens, 0
         names, counts, ids, held, continued = [], [], [], 0, False
         ready: list[tuple] = []
@@ -497,6 +623,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_list = pa.list_(to_arrow_type(kind))
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary(rules.vocabulary))  # one file of fixed size
     found = docs.select(id_col, text_col).mapInArrow(run, schema)
     return found.select(F.spark_partition_id().alias("shard"), "*")
 
