@@ -90,7 +90,22 @@ def test_contamination(spark, documents):
     assert sorted(((r.doc_id, r.item_id, r.hits) for r in D.find_contaminated(df, bench).collect()), key=str) == want
     sliced = D.DecontaminationRules(patterns_per_pass=20)
     assert sorted(((r.doc_id, r.item_id, r.hits) for r in D.find_contaminated(df, bench, rules=sliced).collect()), key=str) == want
+    # Rows of one item are one item, however the benchmark is cut.
+    twice = bench.union(bench)
+    for rules in (D.DecontaminationRules(), D.DecontaminationRules(patterns_per_pass=1)):
+        assert sorted(((r.doc_id, r.item_id, r.hits) for r in D.find_contaminated(df, twice, rules=rules).collect()), key=str) == want
+    assert D.decontaminate(df, bench, rules=D.DecontaminationRules(patterns_per_pass=1)).count() == D.decontaminate(df, bench).count()
+    # A clean row stays beside a contaminated one of its id.
+    shared = documents([(0, "clean words here"), (0, "EXACTLY these six words so there")])
+    assert [r.text for r in D.decontaminate(shared, bench).collect()] == ["clean words here"]
     bad = {i for i, *_ in want}
     kept = D.decontaminate(df, bench)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i, _ in rows if i not in bad] + ["None"]) and kept.columns == df.columns
     assert D.decontaminate(df.filter("false"), bench).count() == 0 and D.decontaminate(df, bench.filter("false")).count() == len(rows)
+
+
+def test_short_items_and_scripts_without_spaces(spark, documents):
+    items = [(1, "日本語で書かれた短い文です"), (2, "Donaudampfschifffahrtsgesellschaftskapitän Rindfleischetikettierung"), (3, "one two three"), (4, "四字熟語")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents([(1, "前に、日本語で書かれた短い文です。後に"), (2, "der donaudampfschifffahrtsgesellschaftskapitän, Rindfleischetikettierung!"), (3, "one two three"), (4, "四字熟語"), (5, "日本語で書かれた長い文です")])
+    assert sorted((r.doc_id, r.item_id) for r in D.find_contaminated(docs, bench).collect()) == [(1, 1), (2, 2)]

@@ -4,7 +4,7 @@ Every window of ``n`` words of a benchmark item is a pattern.  Texts are
 scanned with a block shift table that skips positions where no pattern can
 end; where the shift is zero, the bucket of that block names the patterns to
 compare directly.  A map over Arrow batches: each text is read once, whole,
-and only hits come back.
+and only hits, or the clean rows, come back.
 """
 
 from __future__ import annotations
@@ -16,32 +16,43 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _GAPS = re.compile(r"[\W_]+")
+#: Scripts without spaces between words (Thai to Khmer, kana, Han): each
+#: character counts as a word.  Shared with the SQL.
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_DENSE = re.compile(f"([{DENSE}])")
 
 
 def normal(text: str) -> str:
     """Lower-case words between single spaces."""
-    return f" {_GAPS.sub(' ', text.lower()).strip()} "
+    low = text.lower()
+    if not low.isascii():
+        low = _DENSE.sub(r" \1 ", low)
+    return f" {_GAPS.sub(' ', low).strip()} "
 
 
 @dataclass(frozen=True)
 class DecontaminationRules:
     """``n``: words of a window.  An item of fewer words is one pattern, if it
-    has ``min_words``; a shorter one would match at random and is left out.
-    ``patterns_per_pass``: a larger benchmark is searched in several passes, so
-    that what a worker holds stays bounded."""
+    has ``min_words`` or ``min_chars`` characters (of its words between single
+    spaces); a shorter one would match at random and is left out.
+    ``patterns_per_pass``: a larger benchmark is searched in several passes,
+    whole items at a time, so that what a worker holds stays bounded; the result
+    doesn't depend on it."""
 
     n: int = 10
     min_words: int = 5
-    patterns_per_pass: int = 1_000_000
+    min_chars: int = 32
+    patterns_per_pass: int = 250_000
 
 
 def windows(text: str, rules: DecontaminationRules) -> set[str]:
-    words = normal(text).split()
-    if len(words) < rules.min_words:
+    flat = normal(text)
+    words = flat.split()
+    if not words or (len(words) < rules.min_words and len(flat) - 2 < rules.min_chars):
         return set()
     n = min(rules.n, len(words))
     return {f" {' '.join(words[k : k + n])} " for k in range(len(words) - n + 1)}
@@ -64,27 +75,32 @@ class WuManber:
         self.tables = [self._table(ps, block) for ps in by_class.values()]
 
     @staticmethod
-    def _table(patterns: list[str], block: int) -> tuple[int, int, dict[str, int], dict[str, list[str]]]:
+    def _table(patterns: list[str], block: int) -> tuple[int, int, int, bytearray, dict[str, list[str]]]:
+        """Least length, block, mask, shifts by the block's hash (a byte each;
+        blocks that fall together share the least shift) and buckets by the
+        last block of the least length."""
         m = min(map(len, patterns))
         b = min(block, m)
-        shift: dict[str, int] = {}
+        far = min(m - b + 1, 255)
+        mask = (1 << max(10, (4 * len(patterns) * (m - b + 1)).bit_length())) - 1
+        shift = bytearray([far]) * (mask + 1)
         bucket: dict[str, list[str]] = {}
         for p in patterns:
-            for end in range(b, m + 1):
-                key = p[end - b : end]
-                if shift.get(key, m) > m - end:
-                    shift[key] = m - end
+            for end in range(max(b, m - far), m + 1):
+                k = hash(p[end - b : end]) & mask
+                if shift[k] > m - end:
+                    shift[k] = m - end
             bucket.setdefault(p[m - b : m], []).append(p)
-        return m, b, shift, bucket
+        return m, b, mask, shift, bucket
 
     def find(self, text: str) -> Iterator[tuple[int, str]]:
         """(start, pattern) of every occurrence, overlapping ones included."""
         n = len(text)
-        for m, b, shift, bucket in self.tables:
-            get, far, end = shift.get, m - b + 1, m
+        for m, b, mask, shift, bucket in self.tables:
+            end = m
             while end <= n:
                 key = text[end - b : end]
-                step = get(key, far)
+                step = shift[hash(key) & mask]
                 if step:
                     end += step
                     continue
@@ -95,6 +111,23 @@ class WuManber:
                 end += 1
 
 
+def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, rules: DecontaminationRules) -> Iterator[dict[str, list]]:
+    """Windows and the items that own them, whole items at a time: rows of one
+    item, nulls too, are one."""
+    own: dict[str, list] = {}
+    last, begun = None, False
+    for item, text in benchmark.select(item_col, item_text_col).orderBy(item_col).toLocalIterator():
+        if begun and item != last and len(own) >= rules.patterns_per_pass:
+            yield own
+            own = {}
+        last, begun = item, True
+        for w in windows(text or "", rules):
+            items = own.setdefault(w, [])
+            if not items or items[-1] != item:
+                items.append(item)
+    yield own
+
+
 def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", rules: DecontaminationRules = DecontaminationRules(),
@@ -103,8 +136,9 @@ def find_contaminated(
     at how many places.
 
     Null and empty texts hold none; a null item text has no window; a null item
-    id is reported as null.  Items with equal windows are all reported.  A
-    repeated document row gives its hits again.  Other columns are not read.
+    id is reported as null.  Several rows of one item are one item.  Items with
+    equal windows are all reported.  A repeated document row gives its hits
+    again.  Other columns are not read.
     """
     schema = T.StructType(
         [
@@ -113,17 +147,10 @@ def find_contaminated(
             T.StructField("hits", T.LongType()),
         ]
     )
-    # The benchmark is the small, fixed side; beyond patterns_per_pass it goes
-    # through in slices.
-    batches: list[dict[str, list]] = [{}]
-    for item, text in benchmark.select(item_col, item_text_col).toLocalIterator():
-        if len(batches[-1]) >= rules.patterns_per_pass:
-            batches.append({})
-        for w in windows(text or "", rules):
-            batches[-1].setdefault(w, []).append(item)
+    wanted = to_arrow_type(schema["item_id"].dataType)
 
     def scan(owners: dict[str, list]) -> DataFrame:
-        owned = docs.sparkSession.sparkContext.broadcast(owners)
+        owned = docs.sparkSession.sparkContext.broadcast(owners)  # a slice is bounded by patterns_per_pass and one item
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = WuManber(owned.value)
@@ -134,7 +161,7 @@ def find_contaminated(
                         continue
                     n: Counter = Counter()
                     for _, p in search.find(normal(text)):
-                        n.update(set(owned.value[p]))
+                        n.update(owned.value[p])
                     for item, c in n.items():
                         at.append(k)
                         items.append(item)
@@ -146,36 +173,50 @@ def find_contaminated(
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    wanted = to_arrow_type(schema["item_id"].dataType)
-    out = scan(batches[0])
-    for owners in batches[1:]:
-        out = out.unionByName(scan(owners))
+    out = None
+    for owners in _slices(benchmark, item_col, item_text_col, rules):
+        out = scan(owners) if out is None else out.unionByName(scan(owners))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without contaminated documents, columns unchanged.  A document
-    with a null id can't be named by a hit, so such rows are searched apart,
-    by their own text, under a stand-in id."""
-    bad = find_contaminated(docs.filter(F.col(id_col).isNotNull()), benchmark, id_col=id_col, **kw).select(id_col).distinct()
-    named = docs.join(bad, id_col, "left_anti").filter(F.col(id_col).isNotNull()).select(*[f"`{c}`" for c in docs.columns])
-    text_col = kw.get("text_col", "text")
-    nameless = docs.filter(F.col(id_col).isNull())
-    stand_in = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    lost = find_contaminated(
-        nameless.select(stand_in.alias("__text_hash"), text_col), benchmark, id_col="__text_hash", **kw
-    ).select("__text_hash").distinct()
-    kept = nameless.withColumn("__text_hash", stand_in).join(lost, "__text_hash", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    return named.unionByName(kept)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    rules: DecontaminationRules = DecontaminationRules(),
+) -> DataFrame:
+    """``docs`` without rows that hold a window of an item, columns unchanged.
+
+    Each row is judged by its own text, whatever its id, so that clean rows stay
+    beside a contaminated one of the same id.  Null and empty texts stay, as do
+    repeated clean rows.  One map, or one for each slice of a large benchmark:
+    nothing is shuffled.
+    """
+    at = docs.columns.index(text_col)
+
+    def clean(docs: DataFrame, owners: dict[str, list]) -> DataFrame:
+        owned = docs.sparkSession.sparkContext.broadcast(list(owners))
+
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = WuManber(owned.value)
+            for b in found:
+                keep = [not text or next(search.find(normal(text)), None) is None for text in b.column(at).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for owners in _slices(benchmark, item_col, item_text_col, rules):
+        docs = clean(docs, owners)
+    return docs
 
 
 def oracle(rules: DecontaminationRules = DecontaminationRules()) -> str:
-    n = rules.n
-    words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-    grams = f"unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g"
+    dense = "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in DENSE)
+    words = f"regexp_extract_all(regexp_replace(lower(text), '([{dense}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+    grams = "unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g"
     return f"""
-    WITH b AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, {grams} FROM (SELECT item_id, {words} AS w FROM benchmark))),
-    d AS (SELECT doc_id, {grams} FROM (SELECT doc_id, {words} AS w FROM documents))
-    SELECT doc_id, item_id, count(*) AS hits FROM d JOIN b USING (g) GROUP BY ALL"""
+    WITH i AS (SELECT item_id, {words} AS w FROM benchmark),
+    b AS (
+      SELECT DISTINCT item_id, n, {grams}
+      FROM (SELECT item_id, w, least({rules.n}, len(w)) AS n FROM i
+            WHERE len(w) >= {rules.min_words} OR length(array_to_string(w, ' ')) >= {rules.min_chars})),
+    d AS (SELECT doc_id, n, {grams} FROM (SELECT doc_id, {words} AS w FROM documents), (SELECT DISTINCT n FROM b))
+    SELECT doc_id, item_id, count(*) AS hits FROM d JOIN b USING (n, g) GROUP BY ALL"""
