@@ -35,7 +35,7 @@ def test_merge_is_a_global_sort(spark):
     rng = random.Random(1)
     rows = [(i, f"https://www.h{rng.randint(0, 5)}.example.com/p{rng.randint(0, 9)}/", rng.randint(0, 20)) for i in range(300)] + [(7, "http://h1.example.com/p1", None)] * 2
     df = spark.createDataFrame(rows, "page_id bigint, url string, ts bigint").withColumn("html", F.lit("x")).repartition(5)
-    got = W.merge_index(W.capture_lines(df, F.col("ts")), ranges=4).orderBy("position").collect()
+    got = W.merge_index(W.capture_lines(df, F.col("ts")), range_bytes=6000).orderBy("position").collect()
     assert [r.position for r in got] == list(range(1, 303)) and [(r.url_key, r.capture_ts, r.page_id) for r in got] == brute(rows)
     no, last = 0, None
     for r in got:
@@ -44,10 +44,27 @@ def test_merge_is_a_global_sort(spark):
         last = r.url_key
 
 
+def test_a_key_spans_ranges_and_a_range_many_reads(spark):
+    rng = random.Random(5)
+    rows = sorted((rng.choice(["http://a.com/", "http://b.com/x", "http://b.com/x"]), rng.randint(0, 400), i, rng.choice("uv")) for i in range(3000)) + [("http://b.com/x", 401, 1, "u")] * 400
+    df = spark.createDataFrame([(i, u, t, h) for u, t, i, h in rows], "page_id bigint, url string, ts bigint, html string").repartition(6)
+    for range_bytes in (8_000, 1 << 30):  # forty ranges, or one that is read in many pieces
+        made = W.merge_index(W.capture_lines(df, F.col("ts")), range_bytes=range_bytes, ahead=7)
+        got = made.orderBy("position").collect()
+        if range_bytes == 8_000:
+            assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert [(r.url_key, r.capture_ts, r.page_id) for r in got] == brute([(i, u, t) for u, t, i, _ in rows]) and [r.position for r in got] == list(range(1, 3401))
+        no, key, digest = 0, None, None
+        for r in got:
+            no = no + 1 if r.url_key == key else 1
+            assert r.capture_no == no and r.changed == (no == 1 or r.digest != digest)
+            key, digest = r.url_key, r.digest
+
+
 def test_warc_edges(spark):
     rows = [(1, None, None), (None, "http://a.com/" + "x" * 100_000, "h"), (2, "", "h"), (2, "", "h")]
     df = spark.createDataFrame(rows, PAGES).withColumn("position", F.lit(9))
-    got = W.merge_index(W.capture_lines(df, F.lit(None)), ranges=3)
+    got = W.merge_index(W.capture_lines(df, F.lit(None)), range_bytes=100)
     assert got.count() == 4 and got.filter("url_key = ''").count() == 1
     assert W.merge_index(W.capture_lines(df.filter("false"), F.lit(1))).count() == 0
 
