@@ -38,9 +38,9 @@ class LineRules:
     max_loss: float = 0.5
 
 
-def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
-    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
-    low = F.lower(trimmed)
+def line_passes(trimmed: Column, low: Column, rules: LineRules = LineRules()) -> Column:
+    """Whether a line stays, of the line without outer white space and the same
+    in lower case."""
     return (
         F.regexp_like(trimmed, F.lit(TERMINAL))
         & (F.regexp_count(trimmed, F.lit(r"\S+")) >= rules.min_words)
@@ -54,6 +54,14 @@ def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
     )
 
 
+def good_lines(text: Column, rules: LineRules = LineRules()) -> Column:
+    """The lines of a text that stay.  Lambdas are interpreted and share no
+    subexpressions, so each step binds what the next one uses more than once."""
+    trimmed = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("t")))
+    lowered = F.transform(trimmed, lambda s: F.struct(s["x"].alias("x"), s["t"].alias("t"), F.lower(s["t"]).alias("l")))
+    return F.transform(F.filter(lowered, lambda s: line_passes(s["t"], s["l"], rules)), lambda s: s["x"])
+
+
 def clean_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with cleaned text and ``chars_before``,
     ``chars_after`` (both without line breaks).
@@ -71,7 +79,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
                 F.array(F.col(text_col)),
                 lambda t: F.struct(
                     t.alias("t"),
-                    F.array_join(F.filter(F.split(t, "\n"), lambda x: line_passes(x, rules)), "\n").alias("c"),
+                    F.array_join(good_lines(t, rules), "\n").alias("c"),
                 ),
             ),
             lambda s: F.struct(s["c"].alias("c"), chars(s["t"]).alias("b"), chars(s["c"]).alias("a")),
