@@ -72,3 +72,46 @@ def test_a_stray_source_does_not_limit_the_others(documents):
     assert M.mix_sources(documents(some), rules=M.MixRules(budget=10**9)).count() == len(some)
     even = [(i, "w " * 10, "abcd"[i % 4]) for i in range(400)]
     assert Counter(r.source for r in M.mix_sources(documents(even), rules=M.MixRules(budget=2000)).collect()) == dict.fromkeys("abcd", 50)
+
+
+def test_the_whole_selection_by_brute_force(spark, documents):
+    """Targets by small steps, sums by the set of all that can be reached, the
+    documents of a length by their hashes."""
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 5, 8, 13, 40])), "aaabc"[i % 5]) for i in range(400)] + [(500, "w w w", "d"), (501, None, "a"), (7, "w w", None)]
+    df = documents([*rows, rows[3], rows[3]])
+    rules = M.MixRules(weights={"a": 1.0, "b": 3.0}, other=1.0, share=0.6)
+    got = M.mix_sources(df, rules=rules).collect()
+    held = defaultdict(list)
+    for r in df.withColumn("h", F.xxhash64(F.lit(rules.seed), "doc_id", "text")).collect():
+        if r.text:
+            held[r.source or "", len(r.text.split())].append((r.h, r.doc_id))
+    total = Counter()
+    for (s, n), docs in held.items():
+        total[s] += n * len(docs)
+    weight = {s: rules.weights.get(s, rules.other) for s in total}
+    budget, level = 0.6 * sum(total.values()), 0.0
+    while sum(min(total[s], level * weight[s]) for s in total) < budget - 1e-6:
+        level += 0.001
+    took = defaultdict(list)
+    for r in got:
+        took[r.source or "", r.n_tokens].append(r.doc_id)
+    for s in total:
+        target = int(min(total[s], level * weight[s]) + 1e-2)
+        reach = {0}
+        for (t, n), docs in held.items():
+            if t == s:
+                reach = {x + n * k for x in reach for k in range(len(docs) + 1) if x + n * k <= target}
+        assert abs(sum(n * len(d) for (t, n), d in took.items() if t == s) - max(reach)) <= 1
+    for key, docs in took.items():
+        assert sorted(docs) == sorted(d for _, d in sorted(held[key])[: len(docs)])
+
+
+def test_input_columns_stay(documents):
+    df = documents([(i, "w " * (i + 1), "ab"[i % 2]) for i in range(30)]).withColumnRenamed("lang", "n_tokens")
+    kept = M.keep_mixture(df)
+    assert kept.columns == df.columns and {r.n_tokens for r in kept.collect()} == {"en"}

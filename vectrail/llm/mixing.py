@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replacing, written
+from .common import written
 
 #: A token is a run of letters and digits or one other visible character.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -31,17 +31,17 @@ def token_count(text: Column) -> Column:
 class MixRules:
     """``weights``: target share by source; sources it doesn't name get
     ``other``.  Without it a source's weight is its token total to the power
-    ``temperature``.  ``budget``: tokens in all; by default ``share`` of all
-    tokens, or with ``weights`` the most that the sources can give at exactly
-    these.  A source too small for its share of a budget gives all it has, and
-    the others make up for it by their weights.  ``window``: remainder that the
-    exact program is left to fit."""
+    ``temperature``.  ``budget``: tokens in all, or ``share`` of all tokens; with
+    neither, nine tenths, or with ``weights`` the most that the sources can give
+    at exactly these.  A source too small for its share of a budget gives all it
+    has, and the others make up for it by their weights.  ``window``: remainder
+    that the exact program is left to fit."""
 
     weights: Mapping[str, float] | None = None
     other: float = 0.0
     temperature: float = 0.7
     budget: int | None = None
-    share: float = 0.9
+    share: float | None = None
     window: int = 16_384
     seed: int = 23
 
@@ -93,28 +93,39 @@ def fit(lengths: list[int], counts: list[int], target: int, rules: MixRules, nam
     return [t + extra.get(n, 0) for n, t in zip(lengths, take)]
 
 
-def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    rules: MixRules = MixRules(), tokens: Column | None = None,
-) -> DataFrame:
-    """The selected documents, columns unchanged, with ``n_tokens``.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rules: MixRules = MixRules(), tokens: Column | None = None) -> DataFrame:
+    """The selected documents, columns unchanged, with ``n_tokens`` (in place of
+    an input column of that name).  ``tokens``: another count than that of
+    ``token_count``.
 
-    Documents without tokens (null, empty) are never selected.  A null source
-    is a source of its own, named by ``weights[""]`` as is the empty one.  Which documents
-    of a length go is decided by a seeded hash of id and text; among repeated
-    rows, which tie, as many are taken as fit.  No documents give no rows.
+    Documents without tokens (null, empty) are never selected.  A null and an
+    empty source are one source, named by ``weights[""]``.  Which documents of a
+    length go is decided by a seeded hash of id and text; among repeated rows,
+    which tie, as many are taken as fit.  No documents give no rows.
     """
-    docs = replacing(docs, "n_tokens")
-    own = [f"`{c}`" for c in docs.columns]
+    own = [c for c in docs.columns if c.lower() != "n_tokens"]
+    return _selected(docs, id_col, text_col, source_col, rules, tokens).select(*[f"`{c}`" for c in own], F.col("__n").alias("n_tokens"))
+
+
+def keep_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rules: MixRules = MixRules(), tokens: Column | None = None) -> DataFrame:
+    """The same documents with the columns of ``docs`` alone, all of them."""
+    return _selected(docs, id_col, text_col, source_col, rules, tokens).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _selected(docs: DataFrame, id_col: str, text_col: str, source_col: str, rules: MixRules, tokens: Column | None) -> DataFrame:
+    """The selected documents with ``__n``, their tokens.  Texts are counted
+    once, and written with the count; what is shuffled are hashes."""
     count = token_count(F.col(text_col)) if tokens is None else tokens
+    own = [f"`{c}`" for c in docs.columns]
     marked = docs.select(
-        *own, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__s"), count.alias("n_tokens"),
+        *own, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__s"), count.alias("__n"),
         F.xxhash64(F.lit(rules.seed), F.col(id_col), F.col(text_col)).alias("__h"),
     )
-    keys = written(marked.filter("n_tokens > 0").select("__s", "n_tokens", "__h"), "mix-keys")
-    counts = written(keys.groupBy("__s", "n_tokens").agg(F.count("*").alias("__c")), "mix-counts")
+    marked = written(marked, "mix-counted")
+    keys = marked.filter("__n > 0").select("__s", "__n", "__h")
+    counts = written(keys.groupBy("__s", "__n").agg(F.count("*").alias("__c")), "mix-counts")
 
-    totals = counts.groupBy("__s").agg(F.sum(F.col("n_tokens") * F.col("__c")).alias("__t"))
+    totals = counts.groupBy("__s").agg(F.sum(F.col("__n") * F.col("__c")).alias("__t"))
     if rules.weights is None:
         weight = F.pow(F.col("__t").cast("double"), F.lit(rules.temperature))
     else:
@@ -123,14 +134,15 @@ def mix_sources(
             weight = F.when(F.col("__s") == s, float(w)).otherwise(weight)
     weighed = totals.withColumn("__w", weight).filter("__w > 0")
     # A scale of one row: tokens for each unit of weight.
-    if rules.budget is None and rules.weights is not None:
+    share = 0.9 if rules.share is None else rules.share
+    if rules.budget is None and rules.share is None and rules.weights is not None:
         unit = weighed.agg(F.min(F.col("__t") / F.col("__w")).alias("__u"))
     else:
         # Sources by how soon the scale exhausts them: what those before it give
         # leaves the rest to it and to those after it, unless it is exhausted too.
         # Past the first that isn't, the scale only falls.
         soon = Window.orderBy(F.col("__t") / F.col("__w"), "__s")
-        budget = F.lit(float(rules.budget)) if rules.budget is not None else F.sum("__t").over(Window.partitionBy()) * F.lit(rules.share)
+        budget = F.lit(float(rules.budget)) if rules.budget is not None else F.sum("__t").over(Window.partitionBy()) * F.lit(share)
         before = F.coalesce(F.sum("__t").over(soon.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         after = F.sum("__w").over(soon.rowsBetween(0, Window.unboundedFollowing))
         levels = weighed.select((F.col("__t") / F.col("__w")).alias("__r"), ((budget - before) / after).alias("__u"))
@@ -141,28 +153,28 @@ def mix_sources(
     )
 
     def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n_tokens")
-        lengths, had = pdf["n_tokens"].tolist(), pdf["__c"].tolist()
+        pdf = pdf.sort_values("__n")
+        lengths, had = pdf["__n"].tolist(), pdf["__c"].tolist()
         took = fit(lengths, had, int(pdf["__target"].iloc[0]), rules, pdf["__s"].iloc[0])
-        return pd.DataFrame({"__s": pdf["__s"], "n_tokens": lengths, "__c": had, "__take": took})
+        return pd.DataFrame({"__s": pdf["__s"], "__n": lengths, "__c": had, "__take": took})
 
     fitted = written(
-        counts.join(targets, "__s").groupBy("__s").applyInPandas(fit_source, "__s string, n_tokens long, __c long, __take long").filter("__take > 0"),
+        counts.join(targets, "__s").groupBy("__s").applyInPandas(fit_source, "__s string, __n long, __c long, __take long").filter("__take > 0"),
         "mix-fit",
     )
     # The cut-off is the hash of the last document taken of a length; "below" of
     # a length come before it and "ties" share it.
-    w = Window.partitionBy("__s", "n_tokens").orderBy("__h")
-    partial = keys.join(fitted.filter("__take < __c"), ["__s", "n_tokens"]).withColumn("__r", F.row_number().over(w))
-    cut = partial.groupBy("__s", "n_tokens", "__h").agg(F.min("__r").alias("__r"), F.count("*").alias("__ties"), F.first("__take").alias("__take"))
-    cut = cut.filter("__r <= __take and __take < __r + __ties").select("__s", "n_tokens", F.col("__h").alias("__cut"), (F.col("__take") - F.col("__r") + 1).alias("__last"), "__ties")
-    chosen = written(fitted.join(cut, ["__s", "n_tokens"], "left").select("__s", "n_tokens", "__cut", "__last", "__ties"), "mix-cuts")
+    w = Window.partitionBy("__s", "__n").orderBy("__h")
+    partial = keys.join(fitted.filter("__take < __c"), ["__s", "__n"]).withColumn("__r", F.row_number().over(w))
+    cut = partial.groupBy("__s", "__n", "__h").agg(F.min("__r").alias("__r"), F.count("*").alias("__ties"), F.first("__take").alias("__take"))
+    cut = cut.filter("__r <= __take and __take < __r + __ties").select("__s", "__n", F.col("__h").alias("__cut"), (F.col("__take") - F.col("__r") + 1).alias("__last"), "__ties")
+    chosen = written(fitted.join(cut, ["__s", "__n"], "left").select("__s", "__n", "__cut", "__last", "__ties"), "mix-cuts")
 
-    met = marked.join(chosen, ["__s", "n_tokens"])
+    met = marked.join(chosen, ["__s", "__n"])
     whole = F.col("__cut").isNull() | (F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & (F.col("__last") == F.col("__ties")))
-    out = met.filter(whole).select(*own, "n_tokens")
+    out = met.filter(whole).select(*own, "__n")
     if not chosen.filter("__last < __ties").isEmpty():
         some = met.filter((F.col("__h") == F.col("__cut")) & (F.col("__last") < F.col("__ties")))
-        some = some.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "n_tokens").orderBy("__h")))
-        out = out.unionByName(some.filter("__r <= __last").select(*own, "n_tokens"))
+        some = some.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__n").orderBy("__h")))
+        out = out.unionByName(some.filter("__r <= __last").select(*own, "__n"))
     return out

@@ -158,12 +158,14 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     rules: ClassifierRules = ClassifierRules(),
 ) -> Model:
-    """Labels that are null or whose document is missing are unused; without
+    """Labels that are null or whose document is missing are unused, and of an
+    id's labels the least counts; rows of a labelled id are all used; without
     any, or with one class only, every document has that class's level (good,
     if there are none)."""
-    labelled = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().dropDuplicates(["__id"])
+    # Of clashing labels of an id the least counts: a document that one label calls poor isn't good.
+    labelled = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().groupBy("__id").agg(F.min("__y").alias("__y"))
     n = labelled.count()
-    share = F.pmod(F.xxhash64(F.lit(rules.seed), "__id"), F.lit(1_000_000)) / 1e6
+    share = F.pmod(F.xxhash64(F.lit(rules.seed), "__id"), F.lit(2**52)) / 2.0**52
     sample = labelled.filter(share < min(1.0, rules.max_rows / max(1, n)))
     k = len(STATISTICS)
 
@@ -218,6 +220,12 @@ def fit(
     return Model(mean, scale, omega, phase, beta, knots, levels)
 
 
+def judged(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and calibrated qualities; 0 for texts without characters."""
+    score = model.score(statistics([t or "" for t in texts]))
+    return score, np.where([bool(t) for t in texts], model.calibrated(score), 0.0)
+
+
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: bool = False) -> DataFrame:
     """(id, ``score``, ``quality``) of every row; with ``columns`` all columns
     of ``docs`` and these, which take the place of input columns so named.
@@ -236,15 +244,32 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
         for b in batches:
             for first in range(0, b.num_rows, 2048):
                 part = b.slice(first, 2048)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                s = model.score(statistics(texts))
-                q = np.where([bool(t) for t in texts], model.calibrated(s), 0.0)
+                s, q = judged(model, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(s), pa.array(q)], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: bool = False, rules: ClassifierRules = ClassifierRules()) -> DataFrame:
-    """Only those of at least ``min_quality``."""
+    """(id, ``score``, ``quality``) of the documents of at least
+    ``min_quality``, or with ``columns`` all their columns and these.
+
+    Null and empty texts have quality 0 and go, unless ``min_quality`` is 0.  A
+    null id stays null; repeated rows are judged alike and all stay or go.
+    """
     model = fit(docs, labels, id_col, text_col, rules=rules)
     return score_quality(docs, model, id_col, text_col, columns).filter(F.col("quality") >= rules.min_quality)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: ClassifierRules = ClassifierRules()) -> DataFrame:
+    """The same documents with the columns of ``docs`` alone, all of them."""
+    model = fit(docs, labels, id_col, text_col, rules=rules)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 2048):
+                part = b.slice(first, 2048)
+                yield part.filter(pa.array(judged(model, part.column(at).to_pylist())[1] >= rules.min_quality))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,6 +172,20 @@ class Tokenizer:
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
+def id_count(spark: SparkSession, text: Column, rules: StoreRules = StoreRules()) -> Column:
+    """How many ids a text has; 0 for a null or empty one."""
+    words = spark.sparkContext.broadcast(vocabulary(rules.vocabulary))  # one file of fixed size
+
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = Tokenizer(words.value)
+        for b in batches:
+            parts = [tokenizer.batch(b.slice(first, 2048))[1] for first in range(0, len(b), 2048)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+    return count(text)
+
+
 # --------------------------------------------------------------------- model
 
 
