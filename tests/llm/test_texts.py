@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,13 +40,86 @@ def test_toxic_words_in_disguise(documents):
     assert X.score_toxicity(df, rules=X.ToxicityRules(lexicon={}, exceptions=())).filter("toxic").count() == 0
 
 
+def brute_toxicity(text, rules):
+    """Terms looked for at every word, with no automaton."""
+    text = unicodedata.normalize("NFKD", (text or "").lower()).lower()
+    out = []
+    for i, c in enumerate(text):
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        letter = lambda x: x.isalpha()
+        if c in "!|" and before.isalnum() and letter(after):
+            c = "i"
+        elif c == "@" and letter(after):
+            c = "a"
+        elif c == "$" and (letter(after) or letter(before)):
+            c = "s"
+        c = TABLE.get(c, c)
+        if c is not None:
+            out.append(c)
+    words = "".join(c if c.isalnum() else " " for c in out).split()
+    known = {}
+    for term, w in rules.lexicon.items():
+        for form in (term, term + "s"):
+            key = tuple(X.fold(form).split())
+            known[key] = max(known.get(key, (0, ""))[0], w), 1
+    for phrase in rules.exceptions:
+        known[tuple(X.fold(phrase).split())] = (-1.0, 0)
+    joined, i = [], 0
+    while i < len(words):
+        j = i
+        while j < len(words) and len(words[j]) == 1:
+            j += 1
+        if j - i < 3:
+            joined += words[i : max(j, i + 1)]
+            i = max(j, i + 1)
+            continue
+        run = words[i:j]
+        while run:
+            n = next((n for n in range(len(run), 2, -1) if ("".join(run[:n]),) in known), 1)
+            joined.append("".join(run[:n]))
+            run = run[n:]
+        i = j
+    hits, weight, reach = 0, 0.0, 0
+    for i in range(len(joined)):
+        n = next((n for n in range(6, 0, -1) if tuple(joined[i : i + n]) in known and i + n <= len(joined)), 0)
+        if n and i + n > reach:
+            reach = i + n
+            w, k = known[tuple(joined[i : i + n])]
+            hits, weight = hits + k, weight + max(w, 0)
+    density = weight * rules.per_words / max(len(joined), rules.min_words)
+    return len(joined), hits, weight, hits > 0 and density >= (rules.threshold if hits >= rules.min_hits else rules.strong)
+
+
+TABLE = X.fold_map()
+
+
+def test_toxicity_like_brute_force(documents):
+    rng = random.Random(12)
+    pieces = ["idiot", "1d10t", "id\u0456ot", "I D I O T", "f.o.o.l", "a$$hole", "b!tch", "@sshole", "enculé", unicodedata.normalize("NFD", "enculé"), "ﬁlthy", "piece of shit", "shit", "trash can", "trash",
+              "clown fish", "clown", "дурак", "Arschloch!", "quiet", "words", "of", "a", "b", "c", "harm!", "$5", "me@example.org", "class clown", "SCUM", "fools", "kill yourself", "kill", "x|y"]
+    rows = [(i, " ".join(rng.choices(pieces, k=rng.randint(0, 30)) + ["plain"] * rng.choice([0, 40, 900]))) for i in range(150)] + [(200, None)]
+    rules = X.ToxicityRules()
+    got = {r.doc_id: (r.n_words, r.n_hits, round(r.weight, 6), r.toxic) for r in X.score_toxicity(documents(rows), rules=rules).collect()}
+    for i, t in rows:
+        n, hits, weight, toxic = brute_toxicity(t, rules)
+        assert got[i] == (n, hits, round(weight, 6), toxic), (t, got[i])
+    assert 20 < sum(g[3] for g in got.values()) < 150
+
+
+def test_labels_that_clash(spark, documents):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices([f"mot{k}" for k in range(9000)], k=30)) + (" salaudx" if i < 40 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(200)] + [(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    assert X.fold("salaudx").strip() in X.train_lexicon(documents(rows), labels)
+
+
 def test_lexicon_is_learnt(spark, documents):
     rng = random.Random(0)
     words = [f"mot{i}" for i in range(20_000)]
-    rows = [(i, " ".join(rng.choices(words, k=30)) + (" salaud" if i < 40 else "")) for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=30)) + (" zorgulak" if i < 40 else "")) for i in range(200)]
     labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(200)] + [(None, 1, 1), (9999, 1, None)], "doc_id bigint, quality int, toxic int")
     lexicon = X.train_lexicon(documents(rows), labels)
-    assert X.fold("salaud").strip() in lexicon and not any(X.fold(w).strip() in lexicon for w in words)
+    assert X.fold("zorgulak").strip() in lexicon and not any(X.fold(w).strip() in lexicon for w in words)
     assert X.train_lexicon(documents(rows), labels.filter("toxic = 0")) == X.LEXICON
 
 

@@ -21,6 +21,12 @@ def test_urls(spark):
     assert U.filter_urls(df.filter("false")).count() == 0 and not U.filter_urls(df, rules=U.UrlRules(strict={}, soft={})).filter("rejected").count()
 
 
+def test_urls_beyond_ascii(spark):
+    rows = [(1, "http://x.com/порно/1", ""), (2, "http://xn--" + "порно".encode("punycode").decode() + ".example/", ""), (3, "http://x.com/%D0%BF%D0%BE%D1%80%D0%BD%D0%BE", ""), (4, "http://x.com/спорное", ""), (5, "http://x.com/成人视频", "")]
+    got = {r.page_id: r.rejected for r in U.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
 def brute(rows):
     def key(u):
         low = u.split("#")[0].lower().split("://", 1)[-1]

@@ -1,12 +1,13 @@
 """Toxicity by a weighted lexicon.
 
-Text is folded (lower case, homoglyphs, digits that stand for letters), its
-words are joined by single spaces, and an Aho-Corasick automaton over the
+Text is folded (lower case, compatibility forms, marks, homoglyphs, digits and
+signs that stand for letters), its words are joined by single spaces, letters
+that were spaced out are joined where they spell a term, and an Aho-Corasick automaton over the
 folded lexicon and the exception phrases runs once over the result.  Terms are
 held between spaces, so a hit is always a whole word.  A map over Arrow
 batches: no shuffle, and only ids and figures come back from Python.
 
-The built-in lexicon is English.  ``train_lexicon`` adds terms of any language
+The built-in lexicon has ten languages.  ``train_lexicon`` adds terms of any language
 from labelled documents and takes the weight from built-in ones that labelled
 clean text uses freely.
 """
@@ -15,8 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Container, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -26,23 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-
-#: English insults and their weights.
-LEXICON: dict[str, float] = {
-    "idiot": 2, "moron": 2, "stupid": 1, "trash": 1, "scum": 3, "loser": 2, "pathetic": 1.5, "worthless": 2,
-    "disgusting": 1.5, "clown": 1, "imbecile": 2, "dumb": 1, "dumbass": 3, "jackass": 3, "asshole": 4, "bastard": 3,
-    "bitch": 4, "crap": 1, "cretin": 2, "creep": 1.5, "douchebag": 4, "dipshit": 4, "fool": 1, "fuck": 4,
-    "fucking": 4, "garbage": 1, "hateful": 1, "jerk": 1.5, "kill yourself": 5, "lunatic": 1.5, "lowlife": 3,
-    "parasite": 2, "retard": 4, "shit": 3, "shut up": 1, "slut": 4, "vermin": 3, "whore": 4, "dimwit": 2,
-    "nitwit": 2, "degenerate": 2, "filthy": 1, "go to hell": 3, "piece of shit": 5, "scumbag": 3, "subhuman": 4,
-}
-#: Phrases within which a term says nothing about anybody.
-EXCEPTIONS: tuple[str, ...] = (
-    "trash can", "trash cans", "trash bin", "clown fish", "clown car", "circus clown", "garbage collection",
-    "garbage collector", "garbage can", "scum line", "pond scum", "class clown", "fool proof", "april fool",
-    "sore loser", "winner and loser", "parasite drag", "host parasite", "jerk chicken", "no fool", "degenerate case",
-    "shut up shop", "soap scum",
-)
+from .lexicons import EXCEPTIONS, LEXICON
 
 _HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
@@ -50,34 +36,51 @@ _HOMOGLYPHS = {
     "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i",
     "ɑ": "a", "ɡ": "g", "ʟ": "l", "ⅰ": "i", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
-_ACCENTS = (
-    ("a", "àáâãäåāăą"), ("c", "çćĉċč"), ("d", "ďđ"), ("e", "èéêëēĕėęě"), ("g", "ĝğġģ"), ("h", "ĥħ"), ("i", "ìíîïĩīĭį"),
-    ("j", "ĵ"), ("k", "ķ"), ("l", "ĺļľŀł"), ("n", "ñńņňŉ"), ("o", "òóôõöøōŏő"), ("r", "ŕŗř"), ("s", "śŝşš"),
-    ("t", "ţťŧ"), ("u", "ùúûüũūŭůűų"), ("w", "ŵ"), ("y", "ýÿŷ"), ("z", "źżž"),
-)
+#: Letters that don't decompose into a base and marks.
+_STROKES = {"đ": "d", "ħ": "h", "ł": "l", "ø": "o", "ŧ": "t", "ŀ": "l", "ð": "d", "ŋ": "n"}
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 
 
-def fold_map() -> dict[str, str]:
-    """One character to one character.  ``l`` falls together with ``i``, since
-    the digit 1 stands for either; the lexicon is folded likewise."""
-    out = dict(_HOMOGLYPHS)
-    for base, chars in _ACCENTS:
-        out |= dict.fromkeys(chars, base)
-    out |= {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): str(k) for k in range(10)}
-    out |= _DIGITS
-    out = {k: _DIGITS.get(v, v) for k, v in out.items()}
+def fold_map() -> dict[str, str | None]:
+    """One character to one character, marks to none.  ``l`` falls together with
+    ``i``, since the digit 1 stands for either; the lexicon is folded likewise."""
+    out: dict[str, str | None] = {**_HOMOGLYPHS, **_STROKES, **_DIGITS}
     out["l"] = "i"
-    return {k: "i" if v == "l" else v for k, v in out.items()}
+    out = {k: "i" if v == "l" else v for k, v in out.items()}
+    return out | {chr(c): None for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Me")}
 
 
 _FOLD = str.maketrans(fold_map())
 _GAPS = re.compile(r"[\W_]+")
+#: Signs that stand for letters: within a word, or before one.
+_SIGNS = re.compile(r"(?<=[^\W_])[!|](?=[^\W\d_])|[@$](?=[^\W\d_])|(?<=[^\W\d_])\$")
+_LETTERS = {"!": "i", "|": "i", "@": "a", "$": "s"}
+_SPACED = re.compile(r"(?<= )[^\W_](?: [^\W_]){2,}(?= )")
 
 
 def fold(text: str) -> str:
     """Folded words, single spaces between and around them."""
-    return f" {_GAPS.sub(' ', text.lower().translate(_FOLD)).strip()} "
+    low = text.lower()
+    if not low.isascii():
+        low = unicodedata.normalize("NFKD", low).lower()
+    if "@" in low or "$" in low or "!" in low or "|" in low:
+        low = _SIGNS.sub(lambda m: _LETTERS[m[0]], low)
+    return f" {_GAPS.sub(' ', low.translate(_FOLD)).strip()} "
+
+
+def unspaced(folded: str, words: Container[str]) -> str:
+    """The text with letters that stand alone joined where three or more in a row
+    spell one of the words: at each the longest, from left to right."""
+
+    def join(m: re.Match) -> str:
+        run, out, i = m[0].replace(" ", ""), [], 0
+        while i < len(run):
+            n = next((n for n in range(min(len(run) - i, 24), 2, -1) if run[i : i + n] in words), 1)
+            out.append(run[i : i + n])
+            i += n
+        return " ".join(out)
+
+    return _SPACED.sub(join, folded)
 
 
 @dataclass(frozen=True)
@@ -156,10 +159,11 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(rules)
+        words = {w for w in (k.strip() for k in auto.keys()) if " " not in w} if len(auto) else set()
         for b in batches:
             n, hits, weight, terms = [], [], [], []
             for t in b.column(1).to_pylist():
-                f = fold(t or "")
+                f = unspaced(fold(t or ""), words)
                 h, w, ts = judge(f, auto)
                 n.append(f.count(" ") - 1 if len(f) > 2 else 0)
                 hits.append(h)
@@ -206,14 +210,15 @@ def train_lexicon(
 
     Copies and near copies would pass a document's whole vocabulary off as
     toxic, so of documents that share two of three min-hashes of their words one
-    is counted.  Labels that are null or whose document is missing are unused;
-    without toxic labels the result is ``base``.
+    is counted.  Labels that are null or whose document is missing are unused; of
+    an id's labels the largest counts, so that one calls it toxic; without toxic
+    labels the result is ``base``.
     """
-    labelled = labels.select(id_col, F.col(label_col).cast("int").alias("__y")).dropna().dropDuplicates([id_col])
+    labelled = labels.select(id_col, F.col(label_col).cast("int").alias("__y")).dropna().groupBy(id_col).agg(F.max("__y").alias("__y"))
     sizes = {r["__y"]: r["n"] for r in labelled.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
         return dict(base)
-    share = F.pmod(F.xxhash64(F.lit(how.seed), id_col), F.lit(1_000_000)) / 1e6
+    share = F.pmod(F.xxhash64(F.lit(how.seed), id_col), F.lit(2**52)) / 2.0**52
     most = F.lit(0.0)
     for y, n in sizes.items():
         most = F.when(F.col("__y") == y, min(1.0, how.max_rows / n)).otherwise(most)

@@ -18,17 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-STRICT: dict[str, float] = dict.fromkeys(
-    ("porn", "porno", "pornhub", "xxx", "hentai", "milf", "camgirl", "camgirls", "live sex", "sex cam", "escorts",
-     "bestiality", "xvideos", "redtube", "warez", "keygen", "phishing", "buy viagra", "nsfw"), 1.0,
-)
-SOFT: dict[str, float] = {
-    "sex": 2, "adult": 1, "nude": 2, "naked": 1, "erotic": 2, "casino": 2, "poker": 1, "betting": 1, "slots": 1,
-    "jackpot": 1, "bonus": 0.5, "viagra": 2, "cialis": 2, "pills": 1, "payday": 1, "loan": 0.5, "loans": 0.5,
-    "torrent": 1, "crack": 1, "cracked": 1, "serial": 0.5, "dating": 0.5, "singles": 0.5, "hot": 0.5, "girls": 0.5,
-    "free": 0.5, "cheap": 0.5, "replica": 1, "xx": 1, "fetish": 2, "download": 0.5, "hack": 1,
-}
-_GAPS = re.compile(r"[^a-z0-9]+")
+from .lexicons import SOFT, STRICT
+
+_GAPS = re.compile(r"[\W_]+")
 
 
 @dataclass(frozen=True)
@@ -48,11 +40,22 @@ def words(url: str) -> str:
     return f" {_GAPS.sub(' ', low.split('://', 1)[-1]).strip()} "
 
 
+def forms(term: str) -> list[str]:
+    """What is looked for: the term's words, and a single word beyond ASCII also
+    as a host name writes it."""
+    own = words(term)
+    single = own.strip()
+    if single.isascii() or " " in single:
+        return [own]
+    return [own, words("xn--" + single.encode("punycode").decode())]
+
+
 def automaton(rules: UrlRules) -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     for kind, vocabulary in (("soft", rules.soft), ("strict", rules.strict)):
         for term, weight in vocabulary.items():
-            auto.add_word(words(term), (kind, term, float(weight)))
+            for form in forms(term):
+                auto.add_word(form, (kind, term, float(weight)))
     if len(auto):
         auto.make_automaton()
     return auto
@@ -107,14 +110,14 @@ def filter_urls(
 
 def oracle(rules: UrlRules = UrlRules()) -> str:
     def rows(kind: str, vocabulary: Mapping[str, float]) -> list[str]:
-        return [f"('{kind}', '{t}', '{words(t)}', {w}::DOUBLE)" for t, w in vocabulary.items()]
+        return [f"('{kind}', '{t}', '{form}', {w}::DOUBLE)" for t, w in vocabulary.items() for form in forms(t)]
 
     vocabulary = ", ".join(rows("soft", rules.soft) + rows("strict", rules.strict))
     return f"""
     WITH v(kind, term, w, weight) AS (VALUES {vocabulary}),
     u AS (
       SELECT page_id, url, ' ' || trim(regexp_replace(
-        regexp_replace(lower(url_decode(url_decode(url))), '^.*?://', ''), '[^a-z0-9]+', ' ', 'g')) || ' ' AS x
+        regexp_replace(lower(url_decode(url_decode(url))), '^.*?://', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS x
       FROM pages),
     h AS (
       SELECT page_id, kind, term, weight,
@@ -126,7 +129,7 @@ def oracle(rules: UrlRules = UrlRules()) -> str:
              count(*) FILTER (kind = 'soft') AS soft_hits,
              coalesce(sum(weight) FILTER (kind = 'soft'), 0)::DOUBLE AS soft_weight,
              string_agg(DISTINCT term, ',' ORDER BY term) AS terms
-      FROM h GROUP BY page_id)
+      FROM (SELECT page_id, kind, term, any_value(weight) AS weight, sum(n) AS n FROM h GROUP BY ALL) GROUP BY page_id)
     SELECT u.page_id, u.url, coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits,
            coalesce(soft_weight, 0) AS soft_weight, coalesce(terms, '') AS terms,
            coalesce(strict_hits, 0) > 0 OR coalesce(soft_hits, 0) >= {rules.min_soft}
