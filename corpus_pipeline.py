@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's docs.  All but the last return the columns of documents.
+one's docs.  All but the last return the columns of documents as they came, also
+columns named like an operator's own output.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vectrail.llm import decontaminate, mixing, ngram_join, quality_classifier, token_store
 from vectrail.llm.common import shared_dir, table
@@ -17,8 +19,7 @@ from vectrail.llm.common import shared_dir, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, by a classifier fitted on the labelled ones."""
-    good = quality_classifier.good_documents(docs, table(spark, sf_dir, "labels"), columns=True)
-    return good.select(*docs.columns)
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A selection whose sources have their target weights."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    """A selection whose sources have their target weights, in the token ids
+    that the last stage writes."""
+    return mixing.keep_mixture(docs, tokens=token_store.id_count(spark, F.col("text")))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
