@@ -58,7 +58,7 @@ def test_like_brute_force(documents):
     docs = corpus()
     got = L.dedup_lines(documents(docs), rules=RULES)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute(docs, RULES)
-    shuffled = L.TemplateRules(min_documents=3, broadcast_lines=0)
+    shuffled = L.TemplateRules(min_documents=3, broadcast_bytes=0)
     assert sorted(((r.doc_id, r.text) for r in L.dedup_lines(documents(docs), rules=shuffled).collect()), key=str) == brute(docs, RULES)
     assert all("Page" not in r.text for r in got.collect())
 
@@ -92,3 +92,24 @@ def test_varying_names_and_timestamps(documents):
 def test_masked_places_are_no_evidence(documents):
     docs = [(i, f"{i} {i + 1} {i + 2} w{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(60)]
     assert all(r.lines_dropped == 0 for r in L.dedup_lines(documents(docs)).collect())
+
+
+def test_leaf_index_changes_nothing():
+    rng = random.Random(11)
+    import numpy as np
+
+    for width in (3, 8, 13):
+        lines = [(rng.randint(1, 5), np.array([rng.choice([L.MASK, 3, 5, 7]) if rng.random() < 0.4 else 2 * i + 11 for i in range(width)], np.int64).tobytes()) for _ in range(300)]
+        lines = list({t: (n, t) for n, t in lines}.values())
+        plain = L.Leaf.__init__
+
+        def all_compared(self, w, similarity):
+            plain(self, w, similarity)
+            self.need = 0
+
+        got = L.templates(lines, 0.7)
+        L.Leaf.__init__ = all_compared
+        try:
+            assert L.templates(lines, 0.7) == got
+        finally:
+            L.Leaf.__init__ = plain

@@ -19,6 +19,7 @@ broadcast.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,12 +43,13 @@ class TemplateRules:
     them share no template.  ``similarity``: share of a line's tokens that equal
     the template's, place by place, from which the line joins it; variable
     places count as unequal, places masked in both don't count.
-    ``min_documents``: a template of so many distinct documents recurs."""
+    ``min_documents``: a template of so many distinct documents recurs.
+    ``broadcast_bytes``: a larger table of lines is shuffled in joins."""
 
     depth: int = 0
     similarity: float = 0.7
     min_documents: int = 10
-    broadcast_lines: int = 500_000
+    broadcast_bytes: int = 64 << 20
 
 
 def masked(line: str) -> list[str]:
@@ -82,28 +84,47 @@ def _pairs(tokens: list[str], leaf: int, similarity: float) -> tuple[list[int],
 
 
 class Leaf:
-    """The templates of one leaf: token hashes by place, 0 where variable."""
+    """The templates of one leaf: token hashes by place, 0 where variable.
+
+    A line of a template agrees with the line that founded it in some of the
+    pairs of neighbouring places, so only templates that share enough of them
+    are compared, where any must be shared at all."""
 
     def __init__(self, width: int, similarity: float) -> None:
         self.similarity = similarity
         self.rows, self.n = np.zeros((4, width), np.int64), 0
+        self.need = width // 2 - (width - int(np.ceil(similarity * width - 1e-9)))
+        self.founded: dict[tuple, list[int]] = {}
+
+    def _pairs(self, tokens: np.ndarray) -> Iterator[tuple]:
+        t = tokens.tolist()
+        return zip(range(0, len(t), 2), t[::2], t[1::2])
 
     def place(self, tokens: np.ndarray) -> int:
         """The template the line joins or founds; the first of equals."""
-        if self.n:
-            same = self.rows[: self.n] == tokens
-            equal, places = same.sum(1), np.full(self.n, len(tokens))
+        if self.need > 0:
+            shared = Counter(k for pair in self._pairs(tokens) for k in self.founded.get(pair, ()))
+            near = np.array(sorted(k for k, c in shared.items() if c >= self.need), np.int64)
+        else:
+            near = np.arange(self.n)
+        if len(near):
+            same = self.rows[near] == tokens
+            equal, places = same.sum(1), np.full(len(near), len(tokens))
             mask = tokens == MASK
             if mask.any():
                 both = same[:, mask].sum(1)
                 equal, places = equal - both, places - both
             k = int((equal / np.maximum(1, places)).argmax())
             if equal[k] >= max(1, int(np.ceil(self.similarity * places[k] - 1e-9))):
-                self.rows[k][self.rows[k] != tokens] = 0
-                return k
+                row = self.rows[near[k]]
+                row[row != tokens] = 0
+                return int(near[k])
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n] = tokens
+        if self.need > 0:
+            for pair in self._pairs(tokens):
+                self.founded.setdefault(pair, []).append(self.n)
         self.n += 1
         return self.n - 1
 
@@ -130,6 +151,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.filter(F.length(text_col) > 0).select(F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
 
 
+def _small(df: DataFrame, rules: TemplateRules, lists: str | None = None) -> DataFrame:
+    """A hint to broadcast, if the bytes of a written table (a key of 8 bytes a
+    row and the numbers of its lists, with what a hash table adds) are few."""
+    held = df.agg(F.sum(F.lit(48) + (F.size(lists) * 8 if lists else 0))).first()[0] or 0
+    return F.broadcast(df) if held <= rules.broadcast_bytes else df
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: TemplateRules = TemplateRules()) -> DataFrame:
     """(doc, line, n_documents): the lines, by hash, of recurring templates and
     the documents (hash of id and text) that hold them."""
@@ -155,7 +183,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = _rows(docs, id_col, text_col)
     found = written(texts.mapInArrow(scan, "doc long, leaf long, line long, pairs array<int>, need int"), "lines-found")
-    small = lambda df: F.broadcast(df) if df.count() <= rules.broadcast_lines else df
+    small = lambda df: _small(df, rules)
     hot = written(found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_documents).select("pair"), "lines-pairs")
     met = found.select("doc", "line", "need", F.explode("pairs").alias("pair")).join(small(hot), "pair", "left_semi")
     likely = written(met.groupBy("doc", "line", "need").agg(F.count("*").alias("n")).filter("n >= need").select("line").distinct(), "lines-likely")
@@ -179,7 +207,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(blob, pa.binary())], names=["line", "tokens"])
 
     wanted = written(wanted, "lines-wanted")
-    chosen = F.broadcast(wanted) if wanted.count() <= rules.broadcast_lines // 4 else wanted
+    chosen = _small(wanted, rules, "lines")
     # A repeated row would give its lines again.
     exemplars = texts.join(chosen, "doc").select("text", "lines").mapInArrow(cut, "line long, tokens binary").dropDuplicates(["line"])
 
@@ -212,7 +240,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = src.withColumn("__doc", F.xxhash64(id_col, text_col))
     # (document, its lines to drop) meets the text by document: the list of a
     # document is never longer than the document.
-    small = F.broadcast(bad) if bad.count() <= rules.broadcast_lines // 4 else bad
+    small = _small(bad, rules, "__bad")
     met = keyed.join(small, F.col("__doc") == F.col("doc"), "left").drop("doc", "__doc")
     clean = met.filter("__bad is null").drop("__bad").withColumn("lines_dropped", F.lit(0).cast("long"))
     dirty = met.filter("__bad is not null")
