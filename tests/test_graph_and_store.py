@@ -66,7 +66,7 @@ def test_store_lives_through_flush_and_log(spark, tmp_path):
         db.set([{"id": "a", "vector": [1, 0], "metadata": {"n": 1}, "text": "hello world"}, {"id": "b", "vector": [0, 1], "metadata": {"n": 2}, "sparse": {3: 1.0}}])
         db.set([{"id": "b", "metadata": {"n": 3}}])
         assert db.add_edges([{"from_id": "a", "to_id": "b", "edge_type": "rel"}, {"from_id": "a", "to_id": "gone", "edge_type": "rel"}]) == 2
-        assert db.compact() == 1
+        assert db.compact() == 0 and db.edges.count() == 1  # nothing was deleted; an edge to nowhere goes
     with pytest.raises(RuntimeError):
         len(db)
     with pytest.raises(FileExistsError):
@@ -147,3 +147,79 @@ def test_streams(spark, tmp_path):
     s.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("counts").count() == 3
     assert stream.embedded(spark.createDataFrame([("abc",), (None,)], "text string"), lambda t: [[float(len(x))] for x in t]).selectExpr("sum(vector[0])").first()[0] == 3.0
+
+
+def test_nothing_is_lost_without_a_flush(spark, tmp_path):
+    path = str(tmp_path / "s")
+    db = S.create(spark, path, S.CollectionSchema(dense=0))
+    db.set([{"vector": [1, 2]}, {"vector": [3, 4]}])
+    db.set([{"vector": [5, 6]}])
+    db.set("a", [7, 8], {"k": 1})
+    db.set(ids=["b", "c"], vectors=[[1, 1], [2, 2]], metadatas=[{"k": 1}, {"k": 2}])
+    db.enable_graph()
+    db.add_edges([{"from_id": "a", "to_id": "b", "edge_type": "rel"}, {"from_id": "b", "to_id": "c", "edge_type": "rel"}, {"from_id": "c", "to_id": "a", "edge_type": "rel"}])
+    db.delete(["b"])
+    db.add_edges([{"from_id": "a", "to_id": "b", "edge_type": "later"}])
+    db.remove_edge("c", "a", "rel")
+    db.update("a", vector=[9, 9])
+    again = S.open_store(spark, path)  # the first was neither flushed nor closed
+    assert len(again) == 5 and again.schema.dense == 2 and again.schema.graph
+    assert [tuple(r) for r in again.edges.select("from_id", "to_id", "edge_type").collect()] == [("a", "b", "later")]
+    assert again.get_vector("a") == [9.0, 9.0] and again.get_metadata("a") == {"k": 1} and len({*again.ids()}) == 5
+    again.flush()
+    more = S.open_store(spark, path)
+    assert len(more) == 5 and more.version == 1 and more.info()["log_entries"] == 0 and more.has_edges("a") and more.get_edge("a", "b", "later")
+    assert more.remove_all_for("a") == 1 and not more.has_edges("a") and more.bytes() > 0
+    more.delete(["c"])
+    assert more.compact() == 1 and len(S.open_store(spark, path)) == 4
+
+
+def test_an_incomplete_version_or_call_does_not_count(spark, tmp_path):
+    path = str(tmp_path / "s")
+    db = S.create(spark, path, S.CollectionSchema(dense=1))
+    db.set([{"id": "a", "vector": [1]}])
+    db.flush()
+    db.set([{"id": "a", "vector": [2]}])
+    import os
+    import shutil
+
+    shutil.copytree(f"{path}/versions/1", f"{path}/versions/2")
+    os.remove(f"{path}/versions/2/manifest.json")  # a flush that was killed
+    shutil.copytree(f"{path}/log/2", f"{path}/log/3")
+    os.remove(f"{path}/log/3/_SUCCESS")
+    again = S.open_store(spark, path)
+    assert again.version == 1 and again.get_vector("a") == [2.0]
+    again.set([{"id": "b", "vector": [3]}])
+    again.flush()
+    shutil.copytree(f"{path}/versions/2", f"{path}/keep")
+    os.makedirs(f"{path}/log", exist_ok=True)
+    assert len(S.open_store(spark, path)) == 2
+
+
+def test_many_calls_keep_a_flat_plan(spark):
+    db = S.Store(spark, S.CollectionSchema(dense=1))
+    for n in range(12):
+        db.set([{"id": f"v{n % 5}", "vector": [n]}])
+    plan = db.records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2 and {r.id: r.vector[0] for r in db.records.collect()} == {"v0": 10.0, "v1": 11.0, "v2": 7.0, "v3": 8.0, "v4": 9.0}
+    db.close()
+
+
+def test_records_without_metadata_are_not_deleted(spark):
+    rows = spark.createDataFrame([("a", '{"k":1}'), ("b", None), ("c", "{}")], "id string, metadata string")
+    assert [r.id for r in mutations.delete_by_filter(rows, {"k": {"$ne": 2}}).collect()] == ["b"]
+    a, b = (mutations.with_auto_ids(spark.range(3).select(F.lit(1).alias("v"))).collect() for _ in range(2))
+    assert len({r.id for r in a + b}) == 6
+
+
+def test_multi_modes_and_limits(spark):
+    db = S.Store(spark, S.CollectionSchema(multi=2, pool_factor=2, max_tokens=3))
+    db.store("a", [[1.0, 0.0], [0.0, 1.0]])
+    db.store("b", [[-1.0, 0.0], [-1.0, 0.1]])
+    for mode in ("exact", "rerank", "encoded"):
+        assert db.search_multi([[1.0, 0.0]], 1, mode=mode).first().id == "a"
+    with pytest.raises(ValueError, match="before pooling"):
+        db.store("c", [[1.0, 0.0]] * 7)
+    with pytest.raises(ValueError):
+        db.store("c", [1.0, 2.0])
+    assert len(db.get_tokens("a")) == 1 and len(db.get_data("b")) == 1 and db.get_data("zz") is None

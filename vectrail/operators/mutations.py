@@ -56,8 +56,10 @@ def insert(records: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def with_auto_ids(rows: DataFrame, prefix: str = "__auto_", id_col: str = "id") -> DataFrame:
-    """Ids for rows that have none: unique, and made without a shuffle."""
-    made = F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string"))
+    """Ids for rows that have none: unique over calls, and made without a
+    shuffle; anew at each evaluation, so write the rows before they are used
+    twice."""
+    made = F.concat(F.lit(prefix), F.expr("uuid()"))
     return rows.withColumn(id_col, F.coalesce(F.col(id_col), made) if id_col in rows.columns else made)
 
 
@@ -88,9 +90,16 @@ def delete_count(records: DataFrame, ids: DataFrame, id_col: str = "id") -> int:
     return records.join(ids.select(id_col).distinct(), id_col, "left_semi").count()
 
 
+def deletable(records: DataFrame, where: Mapping[str, Any] | Column) -> Column:
+    """Whether a record matches for deletion: one without metadata never does,
+    whatever the filter, so that ``$ne`` and ``$not`` don't sweep it away."""
+    match = predicate(records, where)
+    return match & F.col("metadata").isNotNull() if "metadata" in records.columns else match
+
+
 def delete_by_filter(records: DataFrame, where: Mapping[str, Any] | Column) -> DataFrame:
-    """Records that don't match; missing metadata counts as {}."""
-    return records.filter(~predicate(records, where))
+    """Records that don't match (see ``deletable``)."""
+    return records.filter(~deletable(records, where))
 
 
 def count_by_filter(records: DataFrame, where: Mapping[str, Any] | Column) -> int:

@@ -1,27 +1,36 @@
 """A named collection of records: schema, versioned Parquet and change log.
 
-A persistent store is a directory: ``schema.json``, ``versions/N`` (records and
-edges), ``CURRENT`` (the number of the version in force) and ``log`` (appended
-changes).  A flush writes a new version and then moves ``CURRENT``; readers of
-an older version are not disturbed.
+A store is a directory: ``schema`` (numbered, the last is in force), ``versions/N``
+(records, edges and, written last, a manifest) and ``log/E`` (the changes of one
+call, in force once complete).  Every change is appended to the log before the
+call returns, and reading folds the log of the last version into it in one join,
+however many calls there were.  A flush writes a new version; its manifest names
+the last call it holds, so that older log entries never come back.  A store in
+memory is such a directory in the shared folder, gone when it is closed.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokenizers import preset
-from ..functions.vectors import SPARSE, is_finite, metric_name, sparse_literal
+from ..functions.vectors import SPARSE, is_finite, metric_name, sparse_literal, train_scalar
 from ..operators import dense, fusion, graph, multivector, mutations, sparse, text
+from .shared import shared_dir
 
 MODALITIES = ("dense", "sparse", "multi", "text", "graph")
+_LOG = "epoch long, seq long, op string, "
+#: Log entries, and calls, after which a call ends with a flush.
+CHECKPOINT_ENTRIES, CHECKPOINT_CALLS = 10_000, 64
 
 
 @dataclass(frozen=True)
@@ -66,17 +75,101 @@ def check_name(name: str) -> str:
 
 
 class Store:
-    """The records, edges and searches of one collection.
+    """The records, edges and searches of one collection.  Failing calls leave
+    the state as it was."""
 
-    State is a pair of lazy DataFrames; mutations build new ones, ``flush``
-    writes them.  Failing calls leave the state as it was.
-    """
-
-    def __init__(self, spark: SparkSession, schema: CollectionSchema, path: str | None = None, records: DataFrame | None = None, edges: DataFrame | None = None, version: int = 0, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> None:
-        self.spark, self.schema, self.path, self.version, self.embed = spark, schema.checked(), path, version, embed
-        self._records = records if records is not None else spark.createDataFrame([], mutations.RECORD)
-        self._edges = edges if edges is not None else graph.empty_edges(spark)
+    def __init__(self, spark: SparkSession, schema: CollectionSchema, path: str | None = None, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> None:
+        self.spark, self.schema, self.path, self.embed = spark, schema.checked(), path, embed
+        self._home = path or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
         self._closed = False
+        self.oversample, self.rerank, self.ef_search = 3.0, 20, None
+        self.version, self._flushed = 0, 0
+        self._base, self._base_edges = spark.createDataFrame([], mutations.RECORD), graph.empty_edges(spark)
+        if path:
+            self._load()
+        self._epoch = max([self._flushed, *self._calls("log"), *self._calls("edge_log")])
+        self._pending = self._log("log", mutations.RECORD, self._calls("log")).count() if path else 0
+        self._changed()
+
+    def _load(self) -> None:
+        """The last version that is complete."""
+        fs, p = _fs(self.spark, self._home)
+        found = [n for n in _numbers(fs, p, f"{self._home}/versions") if fs.exists(p(f"{self._home}/versions/{n}/manifest.json"))]
+        if found:
+            self.version = max(found)
+            at = f"{self._home}/versions/{self.version}"
+            self._flushed = json.loads(_read_text(self.spark, f"{at}/manifest.json"))["epoch"]
+            self._base, self._base_edges = (self.spark.read.parquet(f"{at}/{x}") for x in ("records", "edges"))
+
+    # ------------------------------------------------------------------- log
+
+    def _calls(self, name: str) -> list[int]:
+        """Calls in the log that are complete and no version holds."""
+        fs, p = _fs(self.spark, self._home)
+        root = f"{self._home}/{name}"
+        return [n for n in _numbers(fs, p, root) if n > self._flushed and fs.exists(p(f"{root}/{n}/_SUCCESS"))]
+
+    def _log(self, name: str, kind: str, calls: list[int]) -> DataFrame:
+        if not calls:
+            return self.spark.createDataFrame([], _LOG + kind)
+        return self.spark.read.schema(_LOG + kind).parquet(*[f"{self._home}/{name}/{n}" for n in calls])
+
+    def _append(self, changes: DataFrame, name: str = "log", kind: str = mutations.RECORD) -> None:
+        """Write the changes of one call (``op``, maybe ``seq``, columns); they
+        count from here on."""
+        fields = T.StructType.fromDDL(kind).fields
+        epoch = self._epoch + 1
+        seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        at = f"{self._home}/{name}/{epoch}"
+        changes.select(F.lit(epoch).cast("long").alias("epoch"), seq.alias("seq"), "op", *cols).write.mode("overwrite").parquet(at)  # of a call that didn't end
+        self._epoch = epoch
+        self._pending += self.spark.read.parquet(at).count()
+        self._changed()
+        if self._pending >= CHECKPOINT_ENTRIES or epoch - self._flushed >= CHECKPOINT_CALLS:
+            self._write_version()
+
+    def _changed(self) -> None:
+        """The state: the version with what the log has since."""
+        order = F.struct("epoch", "seq")
+        entries, links = self._calls("log"), self._calls("edge_log")
+        log = self._log("log", mutations.RECORD, entries)
+        self._records = mutations.apply_log(self._base, log.withColumn("seq", order)) if entries else self._base
+        edges = self._base_edges.withColumns({"epoch": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "op": F.lit("add")})
+        if links:
+            edges = edges.unionByName(self._log("edge_log", graph.EDGE, links))
+            value = [c for c in self._base_edges.columns if c not in graph.KEY]
+            last = edges.groupBy(*graph.KEY).agg(F.max_by(F.struct("op", "epoch", *value), order).alias("e"))
+            edges = last.select(*graph.KEY, "e.*").filter("op = 'add'")
+        if entries:
+            # A record's deletion takes the edges along that were there.
+            gone = log.filter("op = 'delete'").groupBy(F.col("id").alias("__gone")).agg(F.max("epoch").alias("__when"))
+            for end in ("from_id", "to_id"):
+                edges = edges.join(gone, (F.col(end) == F.col("__gone")) & (F.col("epoch") < F.col("__when")), "left_anti")
+        self._edges = edges.select(*self._base_edges.columns)
+
+    def _write_version(self) -> None:
+        n = self.version + 1
+        at = f"{self._home}/versions/{n}"
+        fs, p = _fs(self.spark, self._home)
+        fs.delete(p(at), True)  # of a flush that didn't end
+        self._records.write.parquet(f"{at}/records")
+        self._edges.write.parquet(f"{at}/edges")
+        _write_text(self.spark, f"{at}/manifest.json", json.dumps({"epoch": self._epoch}))
+        self.version, self._flushed, self._pending = n, self._epoch, 0
+        self._base, self._base_edges = self.spark.read.parquet(f"{at}/records"), self.spark.read.parquet(f"{at}/edges")
+        for name in ("log", "edge_log"):
+            for k in _numbers(fs, p, f"{self._home}/{name}"):
+                if k <= self._flushed:
+                    fs.delete(p(f"{self._home}/{name}/{k}"), True)
+        self._changed()
+
+    def _set_schema(self, **changes: Any) -> None:
+        """Another schema, written at once."""
+        self.schema = CollectionSchema(**{**asdict(self.schema), **changes})
+        fs, p = _fs(self.spark, self._home)
+        n = 1 + max(_numbers(fs, p, f"{self._home}/schema"), default=0)
+        _write_text(self.spark, f"{self._home}/schema/{n}", json.dumps(asdict(self.schema)))
 
     # ------------------------------------------------------------- lifecycle
 
@@ -87,8 +180,12 @@ class Store:
         self.close()
 
     def close(self) -> None:
-        if not self._closed and self.path:
-            self.flush()
+        if not self._closed:
+            if self.path:
+                self.flush()
+            else:
+                fs, p = _fs(self.spark, self._home)
+                fs.delete(p(self._home), True)
         self._closed = True
 
     def _live(self) -> None:
@@ -112,57 +209,61 @@ class Store:
         return self._edges
 
     def flush(self) -> None:
-        """Write the state as a new version; nothing in memory-only stores."""
+        """Write the state as a new version, if anything changed."""
         self._live()
-        if not self.path:
-            return
-        n = self.version + 1
-        base = f"{self.path}/versions/{n}"
-        self._records.write.parquet(f"{base}/records")
-        self._edges.write.parquet(f"{base}/edges")
-        fs, p = _fs(self.spark, self.path)
-        _write_text(self.spark, f"{self.path}/CURRENT", str(n))
-        fs.delete(p(f"{self.path}/log"), True)
-        self.version = n
-        self._records, self._edges = self.spark.read.parquet(f"{base}/records"), self.spark.read.parquet(f"{base}/edges")
+        if self._epoch > self._flushed or not self.version:
+            self._write_version()
 
     def compact(self) -> int:
-        """Drop edges of ids that don't live and old versions; the number of
-        dropped edges."""
-        before = self._edges.count()
+        """Rewrite without deleted records, edges of ids that don't live and old
+        versions; the number of records that were deleted since the version."""
+        self._live()
+        deleted = self._log("log", mutations.RECORD, self._calls("log")).filter("op = 'delete'").select("id").distinct()
+        removed = deleted.join(self._records.select("id"), "id", "left_anti").count()
         self._edges = mutations.compact_edges(self._records, self._edges)
-        dropped = before - self._edges.count()
-        if self.path:
-            old = self.version
-            self.flush()
-            fs, p = _fs(self.spark, self.path)
-            for n in range(1, old + 1):
-                fs.delete(p(f"{self.path}/versions/{n}"), True)
-        return dropped
+        old = self.version
+        self._epoch += 1
+        self._write_version()
+        fs, p = _fs(self.spark, self._home)
+        for n in range(1, old + 1):
+            fs.delete(p(f"{self._home}/versions/{n}"), True)
+        return removed
 
     def optimize(self, partitions: int | None = None) -> None:
-        """Lay the records out by id, for joins on it."""
+        """Lay the records out by id, for lookups and joins on it."""
         self._live()
-        self._records = self._records.repartitionByRange(*([partitions] if partitions else []), "id")
+        self._records = self._records.repartitionByRange(*([partitions] if partitions else []), "id").sortWithinPartitions("id")
+        self._epoch += 1
+        self._write_version()
 
     def append_log(self, changes: DataFrame) -> None:
-        """Append (seq, op, record columns) durably, without a new version."""
+        """Append (seq, op, record columns) durably; unknown ops are skipped."""
         self._live()
-        if not self.path:
-            raise ValueError("a store in memory has no log")
-        changes.write.mode("append").parquet(f"{self.path}/log")
-        self._records = mutations.apply_log(self._records, changes)
+        self._append(changes)
 
     def persist(self, path: str) -> Store:
         """A copy of the state as a store at ``path``."""
         copy = create(self.spark, path, self.schema, self.embed)
         copy._records, copy._edges = self.records, self._edges
-        copy.flush()
+        copy._epoch += 1
+        copy._write_version()
         return copy
 
     def info(self) -> dict[str, Any]:
         row = mutations.statistics(self.records).first().asDict()
-        return {**row, "edges": self._edges.count(), "version": self.version, "schema": asdict(self.schema), "path": self.path or ":memory:"}
+        return {**row, "edges": self._edges.count(), "version": self.version, "log_entries": self._pending, "schema": asdict(self.schema), "path": self.path or ":memory:"}
+
+    def bytes(self) -> int:
+        """What the store takes on disk, log and old versions included."""
+        fs, p = _fs(self.spark, self._home)
+        return fs.getContentSummary(p(self._home)).getLength() if fs.exists(p(self._home)) else 0
+
+    def set_options(self, oversample: float | None = None, rerank: int | None = None, ef_search: int | None = None) -> None:
+        """Candidates for each wanted hit of ``search_coded`` and of encoded
+        multi-vector search; ``ef_search`` is kept as a hint."""
+        if (oversample is not None and oversample < 1) or (rerank is not None and rerank < 1) or (ef_search is not None and ef_search < 1):
+            raise ValueError("options are at least 1")
+        self.oversample, self.rerank, self.ef_search = oversample or self.oversample, rerank or self.rerank, ef_search or self.ef_search
 
     def __len__(self) -> int:
         return self.records.count()
@@ -171,6 +272,8 @@ class Store:
 
     def _frame(self, items: DataFrame | Sequence[Mapping[str, Any]]) -> tuple[DataFrame, Column | None]:
         if isinstance(items, DataFrame):
+            if "id" not in items.columns:
+                items = mutations.with_auto_ids(items)
             return items, F.col("seq") if "seq" in items.columns else None
         rows, documents = [], [i for i in items if i.get("document") is not None]
         vectors = iter(self._embedded([i["document"] for i in documents])) if documents else iter(())
@@ -186,7 +289,9 @@ class Store:
             v = next(vectors) if i.get("document") is not None else i.get("vector")
             pairs = None if i.get("sparse") is None else [{"dim": d, "weight": w} for d, w in sparse_literal(i["sparse"])]
             m = i.get("multi")
-            rows.append((i.get("id", f"__auto_{n}"), None if v is None else [float(x) for x in v], pairs, None if m is None else [[float(x) for x in t] for t in m], words, json.dumps(meta, ensure_ascii=False), n))
+            rows.append((i.get("id") or f"__auto_{self._epoch + 1}_{n}", None if v is None else [float(x) for x in v], pairs, None if m is None else [[float(x) for x in t] for t in m], words, json.dumps(meta, ensure_ascii=False), n))
+        if not self.schema.text and any(r[4] is not None and r[1] is not None for r in rows):
+            self._set_schema(text="default")  # text beside a vector enables its search
         return self.spark.createDataFrame(rows, mutations.RECORD + ", seq int"), F.col("seq")
 
     def _embedded(self, texts: list[str]) -> Sequence[Sequence[float]]:
@@ -202,7 +307,7 @@ class Store:
             if self.schema.dense == 0:
                 first = new.filter("vector is not null").select(F.size("vector")).first()
                 if first:
-                    self.schema = CollectionSchema(**{**asdict(self.schema), "dense": first[0]})
+                    self._set_schema(dense=first[0])
             bad = F.col("vector").isNotNull() & (~is_finite(F.col("vector")) | (F.size("vector") != (self.schema.dense or 0)))
             if not new.filter(bad).isEmpty():
                 self._needs("dense", "a vector")
@@ -212,39 +317,73 @@ class Store:
             width = self.schema.multi
             if not new.filter((F.size("multi") == 0) | F.exists("multi", lambda t: F.size(t) != width)).isEmpty():
                 raise ValueError(f"tokens have {width} dimensions and there is at least one")
+            most, factor = self.schema.max_tokens, self.schema.pool_factor or 1
+            if most and not new.filter(F.size("multi") > most * factor).isEmpty():
+                raise ValueError(f"at most {most * factor} tokens before pooling")
             if self.schema.pool_factor or self.schema.max_tokens:
                 new = multivector.pool_tokens(new, self.schema.pool_factor or 0, self.schema.max_tokens)
         return new
 
-    def set(self, items: DataFrame | Sequence[Mapping[str, Any]]) -> None:
-        """Upsert records, of a list of dicts or a frame; of a repeated id the
-        last (by ``seq``, in a frame that has it) counts."""
+    def set(self, items: DataFrame | Sequence[Mapping[str, Any]] | str | None = None, vector: Sequence[float] | None = None, metadata: Mapping[str, Any] | None = None, *, ids: Sequence[str] | None = None, vectors: Sequence[Sequence[float]] | None = None, metadatas: Sequence[Mapping[str, Any]] | None = None, documents: Sequence[str] | None = None) -> None:
+        """Upsert records: of a frame, a list of dicts, one id with its vector
+        and metadata, or parallel lists.  Of a repeated id the last (by ``seq``,
+        in a frame that has it) counts.  Items without an id get one of their own."""
         self._live()
+        if isinstance(items, str):
+            items = [{"id": items, "vector": vector, "metadata": metadata}]
+        elif items is None:
+            sizes = {len(x) for x in (ids, vectors, metadatas, documents) if x is not None}
+            if len(sizes) != 1:
+                raise ValueError("parallel lists have one length")
+            items = [
+                {"id": ids[k] if ids else None, "vector": vectors[k] if vectors else None, "metadata": metadatas[k] if metadatas else None, "document": documents[k] if documents else None}
+                for k in range(sizes.pop())
+            ]
         new, order = self._frame(items)
-        self._records = mutations.upsert(self._records, self._checked(new), order)
+        new = self._checked(new)
+        self._append((new if order is not None else mutations.last_of_each(new)).withColumn("op", F.lit("upsert")))
 
-    store = set
+    def store(self, id: str, data: Any, metadata: Mapping[str, Any] | None = None) -> None:
+        """Upsert one record by what its data are: a vector, a mapping of
+        dimensions to weights, or a list of tokens."""
+        kind = "sparse" if isinstance(data, Mapping) else "multi" if len(data) and not isinstance(data[0], (int, float)) else "vector"
+        self._needs({"vector": "dense"}.get(kind, kind), "store")
+        self.set([{"id": id, kind: data, "metadata": metadata}])
 
     def insert(self, items: DataFrame | Sequence[Mapping[str, Any]]) -> None:
+        """An error if an id exists already or comes twice."""
         self._live()
-        self._records = mutations.insert(self._records, self._checked(self._frame(items)[0]))
+        new = self._checked(self._frame(items)[0])
+        mutations.insert(self._records, new)
+        self._append(new.withColumn("op", F.lit("upsert")))
 
     def update(self, id: str, vector=None, metadata: Mapping[str, Any] | None = None, text: str | None = None) -> None:
-        meta = None if metadata is None else json.dumps({**metadata, **({} if text is None else {"text": text})}, ensure_ascii=False)
+        """One record's payloads; metadata is replaced whole and keeps its text,
+        a text goes to both; an error if there is no such id."""
         if metadata is not None and text is not None and metadata.get("text", text) != text:
             raise ValueError("metadata.text differs from the text")
-        self._records = mutations.update(self.records, id, vector, meta, text)
+        old = self.records.filter(F.col("id") == id).select("metadata").first()
+        if old is None:
+            raise KeyError(id)
+        meta = json.loads(old[0] or "{}") if metadata is None else dict(metadata)
+        if text is not None:
+            meta["text"] = text
+        row = (id, None if vector is None else [float(x) for x in vector], text, json.dumps(meta, ensure_ascii=False), "upsert")
+        self._append(self._checked(self.spark.createDataFrame([row], "id string, vector array<float>, text string, metadata string, op string")))
 
     def delete(self, ids: Sequence[str] | DataFrame) -> int:
-        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
+        """The number of records that were there; an error for a single id that
+        wasn't.  Edges of the ids go as well."""
+        gone = ids.select("id") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
         n = mutations.delete_count(self.records, gone)
         if isinstance(ids, (list, tuple)) and len(ids) == 1 and not n:
             raise KeyError(ids[0])
-        self._records, self._edges = mutations.delete(self._records, gone, self._edges)
+        self._append(gone.distinct().withColumn("op", F.lit("delete")))
         return n
 
     def delete_by_filter(self, where: Mapping[str, Any]) -> int:
-        return self.delete(self.records.filter(dense.predicate(self.records, where)).select("id"))
+        """Delete what matches; records without metadata never do."""
+        return self.delete(self.records.filter(mutations.deletable(self.records, where)).select("id"))
 
     def count(self, where: Mapping[str, Any] | None = None) -> int:
         return self.records.count() if not where else mutations.count_by_filter(self.records, where)
@@ -255,8 +394,11 @@ class Store:
             raise ValueError("a store can't be merged with itself")
         if self.schema.dense and other.schema.dense and self.schema.dense != other.schema.dense:
             raise ValueError("the stores have different dimensions")
+        theirs = other.records.select("id", "vector", "sparse", "metadata")
+        if prefix:
+            theirs = theirs.withColumn("id", F.concat(F.lit(prefix), F.col("id")))
         before = self.records.count()
-        self._records = mutations.merge(self._records, other.records.select("id", "vector", "sparse", "metadata"), prefix)
+        self._append(theirs.join(self._records.select("id"), "id", "left_anti").withColumn("op", F.lit("upsert")))
         return self._records.count() - before
 
     # --------------------------------------------------------------- lookups
@@ -275,6 +417,23 @@ class Store:
         r = self.records.filter(F.col("id") == id).select("metadata").first()
         return None if r is None else json.loads(r[0] or "{}")
 
+    def _payload(self, id: str, column: str) -> Any:
+        r = self.records.filter(F.col("id") == id).select(column).first()
+        return None if r is None else r[0]
+
+    def get_vector(self, id: str) -> list[float] | None:
+        return self._payload(id, "vector")
+
+    def get_tokens(self, id: str) -> list[list[float]] | None:
+        return self._payload(id, "multi")
+
+    def get_data(self, id: str) -> Any:
+        """The record's vector, else its tokens, else its sparse weights."""
+        r = self.records.filter(F.col("id") == id).select("vector", "multi", "sparse").first()
+        if r is None:
+            return None
+        return r[0] if r[0] is not None else r[1] if r[1] is not None else None if r[2] is None else {p["dim"]: p["weight"] for p in r[2]}
+
     def get_batch(self, ids: Sequence[str]) -> list[Row | None]:
         asked = self.spark.createDataFrame(list(enumerate(ids)), "position int, id string")
         rows = mutations.lookup(self.records.withColumn("__here", F.lit(True)), asked).orderBy("position").collect()
@@ -316,9 +475,26 @@ class Store:
         self._needs("sparse", "search_hybrid_sparse")
         return fusion.hybrid_sparse(self._records, query, terms, k, alpha, where or None, self.schema.metric)
 
-    def search_multi(self, query: Sequence[Sequence[float]], k: int = 10, where: Mapping[str, Any] | None = None, max_distance: float | None = None, explain: bool = False) -> DataFrame:
+    def search_coded(self, query: Sequence[float], k: int = 10) -> DataFrame:
+        """L2 search on 8-bit codes for k * ``oversample`` candidates, then their
+        exact distances."""
+        self._needs("dense", "search_coded")
+        if not self.schema.quantization:
+            raise ValueError("search_coded requires quantization in the collection schema")
+        return dense.rescored_top_k(self._records, query, k, train_scalar(self._records), self.oversample)
+
+    def search_multi(self, query: Sequence[Sequence[float]], k: int = 10, where: Mapping[str, Any] | None = None, max_distance: float | None = None, explain: bool = False, mode: str = "exact") -> DataFrame:
+        """``mode``: exact, ``rerank`` (the best by the encodings, ordered by
+        MaxSim) or ``encoded`` (by the encodings alone)."""
         self._needs("multi", "search_multi")
         multivector.check_tokens(query, self.schema.multi)
+        if mode not in ("exact", "rerank", "encoded"):
+            raise ValueError("mode is exact, rerank or encoded")
+        if mode != "exact":
+            config = multivector.EncodingConfig(projection=None)
+            held = self._records.filter("multi is not null") if not where else self._records.filter(dense.predicate(self._records, where)).filter("multi is not null")
+            encoded = multivector.encode_documents(held, self.schema.multi, config)
+            return multivector.encoded_top_k(encoded, query, k, multivector.Encoder(self.schema.multi, config), self.rerank if mode == "rerank" else None)
         found = self._records if not where else self._records.filter(dense.predicate(self._records, where))
         return multivector.maxsim_top_k(found, query, k, max_distance, explain)
 
@@ -345,10 +521,26 @@ class Store:
     # ----------------------------------------------------------------- graph
 
     def enable_graph(self) -> None:
-        self.schema = CollectionSchema(**{**asdict(self.schema), "graph": True})
+        self._set_schema(graph=True)
 
     def enable_text(self, tokenizer: str = "default") -> None:
-        self.schema = CollectionSchema(**{**asdict(self.schema), "text": preset(tokenizer)})
+        self._set_schema(text=preset(tokenizer))
+
+    def edges_involving(self, node: str) -> DataFrame:
+        return graph.edges_involving(self.edges, node)
+
+    def get_edge(self, from_id: str, to_id: str, edge_type: str) -> Row | None:
+        return graph.get_edge(self.edges, from_id, to_id, edge_type).first()
+
+    def has_edges(self, node: str) -> bool:
+        return not self.edges_involving(node).isEmpty()
+
+    def remove_all_for(self, node: str) -> int:
+        """Remove the node's edges; their number."""
+        found = self.edges_involving(node)
+        n = found.count()
+        self._append(found.withColumn("op", F.lit("remove")), "edge_log", graph.EDGE)
+        return n
 
     def get_edges(self, node: str, direction: str = "both", edge_type: str | None = None) -> DataFrame:
         return graph.get_edges(self.edges, node, direction, edge_type)
@@ -397,13 +589,14 @@ class Store:
             rows = [(e["from_id"], e["to_id"], e["edge_type"], float(e.get("weight", 1.0)), json.dumps(e.get("metadata") or {}), n) for n, e in enumerate(edges)]
             edges, order = self.spark.createDataFrame(rows, graph.EDGE + ", seq int"), F.col("seq")
         n = graph.count_new(self._edges, edges)
-        self._edges = graph.add_edges(self._edges, edges, order).select(*self._edges.columns)
+        least = F.row_number().over(Window.partitionBy(*graph.KEY).orderBy(F.col("weight").asc() if order is None else order.desc()))
+        self._append(edges.withColumn("__r", least).filter("__r = 1").withColumn("op", F.lit("add")), "edge_log", graph.EDGE)
         return n
 
     def remove_edge(self, from_id: str, to_id: str, edge_type: str) -> bool:
         self._needs("graph", "remove_edge")
         there = not graph.get_edge(self._edges, from_id, to_id, edge_type).isEmpty()
-        self._edges = graph.remove_edge(self._edges, from_id, to_id, edge_type)
+        self._append(self.spark.createDataFrame([(from_id, to_id, edge_type, "remove")], "from_id string, to_id string, edge_type string, op string"), "edge_log", graph.EDGE)
         return there
 
 
@@ -429,36 +622,36 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return spark.sparkContext.wholeTextFiles(path).values().first()
 
 
+def _numbers(fs, p, path: str) -> list[int]:
+    return [int(x.getPath().getName()) for x in fs.listStatus(p(path)) if x.getPath().getName().isdigit()] if fs.exists(p(path)) else []
+
+
 def create(spark: SparkSession, path: str, schema: CollectionSchema, embed=None) -> Store:
-    """A new store; ``:memory:`` is not written.  An error if it exists."""
+    """A new store; ``:memory:`` is not kept.  An error if it exists."""
     schema = schema.checked()
     if path == ":memory:":
         return Store(spark, schema, embed=embed)
     fs, p = _fs(spark, path)
-    if fs.exists(p(f"{path}/schema.json")):
+    if fs.exists(p(f"{path}/schema")):
         raise FileExistsError(path)
-    _write_text(spark, f"{path}/schema.json", json.dumps(asdict(schema)))
-    store = Store(spark, schema, path, embed=embed)
-    store.flush()
-    return store
+    _write_text(spark, f"{path}/schema/1", json.dumps(asdict(schema)))
+    return Store(spark, schema, path, embed)
 
 
-def open_store(spark: SparkSession, path: str, schema: CollectionSchema | None = None, embed=None) -> Store:
-    """An existing store, its log replayed; with a schema one is created where
-    there is none."""
+def open_store(spark: SparkSession, path: str, schema: CollectionSchema | None = None, embed=None, **hints: Any) -> Store:
+    """An existing store, its log folded in; with a schema one is created where
+    there is none.  ``hints``: options to keep where it is created."""
+    if schema is not None and hints:
+        schema = replace(schema, options={**(schema.options or {}), **hints})
     if path == ":memory:":
         return Store(spark, schema or CollectionSchema(dense=0), embed=embed)
     fs, p = _fs(spark, path)
-    if not fs.exists(p(f"{path}/schema.json")):
+    if not fs.exists(p(f"{path}/schema")):
         if schema is None:
             raise FileNotFoundError(path)
         return create(spark, path, schema, embed)
-    kept = CollectionSchema(**json.loads(_read_text(spark, f"{path}/schema.json")))
-    n = int(_read_text(spark, f"{path}/CURRENT"))
-    records, edges = (spark.read.parquet(f"{path}/versions/{n}/{x}") for x in ("records", "edges"))
-    if fs.exists(p(f"{path}/log")):
-        records = mutations.apply_log(records, spark.read.parquet(f"{path}/log"))
-    return Store(spark, kept, path, records, edges, n, embed)
+    last = max(_numbers(fs, p, f"{path}/schema"))
+    return Store(spark, CollectionSchema(**json.loads(_read_text(spark, f"{path}/schema/{last}"))), path, embed)
 
 
 def collection(spark: SparkSession, root: str, name: str, schema: CollectionSchema) -> Store:

@@ -13,14 +13,13 @@ from ..sources.store import Store
 
 
 def ingest(changes: DataFrame, store: Store, checkpoint: str, available_now: bool = True, flush_every: int = 1) -> StreamingQuery:
-    """Apply a stream of (seq, op, record columns) batch by batch; after every
-    ``flush_every`` batches a version is written.  A batch that is replayed
-    after a failure gives the same state, as the last entry of an id decides."""
+    """Apply a stream of (seq, op, record columns) batch by batch: each goes to
+    the store's log, and after every ``flush_every`` batches a version is
+    written.  A batch that is replayed after a failure gives the same state, as
+    the last entry of an id decides."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        from ..operators.mutations import apply_log
-
-        store._records = apply_log(store._records, batch)
+        store.append_log(batch)
         if (epoch + 1) % flush_every == 0:
             store.flush()
 
