@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenizers import query_terms, tokens
+from ..sources.shared import written
 from .dense import predicate
 
 
@@ -27,9 +28,9 @@ def bm25(
     first, ties by id.  Frequencies count over all documents; the filter only
     chooses among hits.  A blank query or k of 0 finds nothing.
 
-    One pass: each text is cut into tokens once and only the counts of the
-    query's terms leave the projection, so nothing is exploded; the corpus
-    figures are one partial aggregate.
+    Two scans, of the figures and of the hits: each cuts the texts and only
+    counts of the query's terms leave the projection, so nothing is exploded; the
+    corpus figures are one partial aggregate.  For many queries, ``index_terms``.
     """
     terms = query_terms(query, tokenizer)
     if not terms or k <= 0:
@@ -70,3 +71,16 @@ def batch_bm25(index: DataFrame, n_docs: int, average: float, queries: DataFrame
     scores = index.join(q, "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"), F.count("*").alias("got"), F.first("need").alias("need")).filter("got = need")
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, id_col, "score", "rank")
+
+
+def batch_bm25_docs(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str = "default", id_col: str = "id", text_col: str = "text", query_id: str = "query_id", terms_col: str = "terms", params: Bm25 = Bm25(), broadcast_terms: int = 500_000) -> DataFrame:
+    """``batch_bm25`` without a stored index: only terms that are asked are
+    counted, so that the rest of the texts' words is never shuffled.  Up to
+    ``broadcast_terms`` distinct terms go to the scan tasks; more are joined."""
+    t = docs.filter(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col), tokenizer).alias("t"))
+    figures = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("a")).first()
+    asked = written(queries.select(F.explode(terms_col).alias("term")).distinct(), "text-terms")
+    few = F.broadcast(asked) if asked.count() <= broadcast_terms else asked
+    cut = t.select(id_col, F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(few, "term", "left_semi")
+    index = written(cut.groupBy("term", id_col).agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), "text-index")
+    return batch_bm25(index, figures["n"], figures["a"] or 1.0, queries, k, id_col, query_id, terms_col, params)

@@ -5,6 +5,8 @@ Every query reads whole tables; a limit is a top k and nothing else.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import filters, tokenizers
 from ..functions import vectors as V
 from ..operators import dense, fusion, graph, multivector, mutations, sparse, text
+from ..sources.shared import shared_dir
+from ..sources.store import CollectionSchema, Store
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -119,6 +124,7 @@ def dense_batch_filtered(spark: SparkSession, d: str) -> DataFrame:
 @_register("""
     WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS w FROM embeddings)
     SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_inner_product(v, w), 6) + 0.0 AS dot,
+           round(list_distance(v, w) ^ 2, 6) AS decomposed, round(list_distance(v, w), 6) AS compared,
            round(list_distance(v, w), 6) AS l2, round(list_cosine_distance(v, w), 6) + 0.0 AS cosine,
            round(list_inner_product(v, v) / sqrt(list_inner_product(v, v)) / sqrt(list_inner_product(v, v)), 6) AS unit
     FROM e WHERE w IS NOT NULL""")
@@ -128,8 +134,8 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
     # Ids are consecutive: the next is a join, not a window in one partition.
     e = e.join(e.select((F.col("id") - 1).alias("id"), F.col("v").alias("w")), "id")
     v, w = F.col("v"), F.col("w")
-    out = e.select("id", V.l2_norm(v).alias("norm"), V.dot_product(v, w).alias("dot"), V.l2_distance(V.checked(v, w), w).alias("l2"), V.cosine_distance(v, w).alias("cosine"), V.norm_squared(V.normalize(v)).alias("unit"))
-    return _round(out, "norm", "dot", "l2", "cosine", "unit")
+    out = e.select("id", V.l2_norm(v).alias("norm"), V.dot_product(v, w).alias("dot"), V.l2_distance(V.checked(v, w), w).alias("l2"), V.cosine_distance(v, w).alias("cosine"), V.norm_squared(V.normalize(v)).alias("unit"), V.l2_squared_decomposed(v, w, V.norm_squared(v), V.norm_squared(w)).alias("decomposed"), V.comparison_to_actual("l2", V.distance_for_comparison("l2", v, w)).alias("compared"))
+    return _round(out, "norm", "dot", "l2", "cosine", "unit", "decomposed", "compared")
 
 
 _SQ8 = """
@@ -155,7 +161,7 @@ def dense_rescored(spark: SparkSession, d: str) -> DataFrame:
     return _round(dense.rescored_top_k(_vectors(spark, d), _first(spark, d), 10, _params(spark, d)), "distance", "score")
 
 
-@_register()
+@_register(_SQL["dense_topk_l2"])
 def dense_cells(spark: SparkSession, d: str) -> DataFrame:
     """The cells that may hold one of the closest; exact."""
     v = _vectors(spark, d)
@@ -194,14 +200,15 @@ def count_by_filter(spark: SparkSession, d: str) -> DataFrame:
 # -------------------------------------------------------------------- sparse
 
 _SPARSE_SQL = """
-    p AS (SELECT vec_id AS id, unnest(range(64)) AS dim, unnest(embedding) AS weight FROM embeddings),
-    s AS (SELECT id, dim, weight::DOUBLE AS w FROM p WHERE weight > 0.1)"""
+    sv AS (SELECT vec_id AS id, unnest(range(64)) AS dim, unnest(embedding) AS weight FROM embeddings),
+    s AS (SELECT id, dim, weight::DOUBLE AS w FROM sv WHERE (id + dim) % 3 > 0)"""
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Every embedding's values above 0.1 as a sparse vector."""
+    """Two thirds of every embedding's values, small and negative ones too, as a
+    sparse vector."""
     pairs = F.transform(F.col("embedding"), lambda x, i: F.struct(i.cast("bigint").alias("dim"), x.alias("weight")))
-    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.filter(pairs, lambda p: p["weight"] > F.lit(0.1)).alias("sparse"), "label")
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.filter(pairs, lambda p: (F.col("vec_id") + p["dim"]) % 3 > 0).alias("sparse"), "label")
 
 
 def _sparse_query(spark: SparkSession, d: str) -> list[tuple[int, float]]:
@@ -221,7 +228,7 @@ def sparse_filtered(spark: SparkSession, d: str) -> DataFrame:
 @_register(f"WITH {_SPARSE_SQL}, t AS (SELECT q.id AS query_id, s.id, sum(s.w * q.w) AS score FROM s JOIN s q USING (dim) GROUP BY q.id, s.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM t) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def sparse_batch(spark: SparkSession, d: str) -> DataFrame:
     s = _sparse(spark, d)
-    return _round(sparse.batch_search(sparse.postings(s), s.select(F.col("id").alias("query_id"), "sparse"), 5), "score")
+    return _round(sparse.batch_top_k(s, s.select(F.col("id").alias("query_id"), "sparse"), 5), "score")
 
 
 @_register(f"WITH {_SPARSE_SQL}, t AS (SELECT id, count(*) AS nnz, max(dim) + 1 AS dims, sum(w * w) AS self FROM s GROUP BY id) SELECT id, nnz::INT AS nnz, dims, round(self, 6) AS self FROM t")
@@ -230,6 +237,26 @@ def sparse_functions(spark: SparkSession, d: str) -> DataFrame:
     return _round(s.select("id", V.sparse_nnz(F.col("s")).alias("nnz"), V.sparse_dim(F.col("s")).alias("dims"), V.sparse_dot(F.col("s"), F.col("s")).alias("self")), "self")
 
 
+@_register("""
+    WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+    SELECT id, len(v)::INT AS nnz, len(v)::BIGINT AS dims, round(list_inner_product(v, v), 6) AS self, round(v[1], 6) + 0.0 AS lowest FROM e""")
+def sparse_constructed(spark: SparkSession, d: str) -> DataFrame:
+    """From parallel arrays, and from a map of the same."""
+    at = F.sequence(F.lit(0), F.size("embedding") - 1)
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.sparse(at, F.col("embedding")).alias("a"), V.sparse_from_map(F.map_from_arrays(at, "embedding")).alias("b"))
+    return _round(e.select("id", V.sparse_nnz(F.col("a")).alias("nnz"), V.sparse_dim(F.col("b")).alias("dims"), V.sparse_dot(F.col("a"), F.col("b")).alias("self"), F.col("b")[0]["weight"].cast("double").alias("lowest")), "self", "lowest")
+
+
+@_register(f"WITH {_SPARSE_SQL}, o AS (SELECT id, dim, CASE WHEN id % 2 = 0 THEN 2 * w ELSE w END AS w FROM s WHERE id % 5 > 0) SELECT dim, count(*) AS n, round(sum(w), 4) + 0.0 AS total FROM o GROUP BY dim")
+def sparse_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of all records; those of every second replaced, those of every
+    fifth removed."""
+    r = _sparse(spark, d).select("id", "sparse")
+    twice = r.filter("id % 2 = 0").withColumn("sparse", F.transform("sparse", lambda p: F.struct(p["dim"].alias("dim"), (p["weight"] * 2).alias("weight"))))
+    index = sparse.remove_postings(sparse.replace_postings(sparse.postings(r), twice), r.filter("id % 5 = 0").select("id"))
+    return index.groupBy("dim").agg(F.count("*").alias("n"), (F.round(F.sum(F.col("weight").cast("double")), 4) + 0.0).alias("total"))
+
+
 # ---------------------------------------------------------------------- text
 
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -267,10 +294,18 @@ def text_bm25(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def text_batch_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark item as a query."""
-    docs = _docs(spark, d)
-    t = docs.filter("text is not null").agg(F.count("*").alias("n"), F.avg(F.size(tokenizers.tokens(F.col("text")))).alias("a")).first()
     q = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokenizers.tokens(F.col("text")).alias("terms"))
-    return _round(text.batch_bm25(text.index_terms(docs), t["n"], t["a"] or 1.0, q, 10), "score")
+    return _round(text.batch_bm25_docs(_docs(spark, d), q, 10), "score")
+
+
+_HUMPS = "regexp_replace(regexp_replace(text, '(\\p{Lu}+)(\\p{Lu}\\p{Ll})', '\\1 \\2', 'g'), '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g')"
+
+
+@_register(f"SELECT doc_id AS id, len(regexp_extract_all(lower({_HUMPS}), '[\\p{{L}}\\p{{N}}]+'))::INT AS n_code, md5(array_to_string(regexp_extract_all(lower({_HUMPS}), '[\\p{{L}}\\p{{N}}]+'), ' ')) AS code, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END::INT AS n_raw FROM documents")
+def text_tokens_code(spark: SparkSession, d: str) -> DataFrame:
+    """The code and the raw tokenizer."""
+    t = _docs(spark, d).select("id", tokenizers.tokens(F.col("text"), "code").alias("c"), tokenizers.tokens(F.col("text"), "raw").alias("r"))
+    return t.select("id", F.size("c").alias("n_code"), F.md5(F.array_join("c", " ")).alias("code"), F.size("r").alias("n_raw"))
 
 
 @_register(f"SELECT doc_id AS id, len({_TOK})::INT AS n_tokens, len(list_distinct({_TOK}))::INT AS n_distinct FROM documents")
@@ -361,9 +396,28 @@ def maxsim_encoded(spark: SparkSession, d: str) -> DataFrame:
     return _round(multivector.encoded_top_k(docs, _multi_query(spark, d), 10, multivector.Encoder(16, ENCODING), share=CANDIDATES), "score", "distance")
 
 
+def _reranked(found: str) -> str:
+    return f"""
+    SELECT id, round(score, 6) AS score, round(-score, 6) AS distance FROM (
+      SELECT id, sum(s) AS score FROM p JOIN ({found}) USING (id) GROUP BY id) t ORDER BY t.score DESC, id LIMIT 10"""
+
+
+@_register(f"WITH {_MULTI}, {_bm25_sql(10_000)} " + _reranked("SELECT id FROM b"))
+def text_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 of the documents, then MaxSim of the embeddings of their number."""
+    both = _docs(spark, d).join(_multi(spark, d).select("id", "multi"), "id", "left")
+    return _round(fusion.text_rerank(both, " ".join(_BM25_TERMS), _multi_query(spark, d), 10), "score", "distance")
+
+
+@_register(f"WITH {_MULTI}, {_SPARSE_SQL}, b AS (SELECT s.id, sum(s.w * q.w) AS score FROM s JOIN s q ON s.dim = q.dim AND q.id = 0 GROUP BY s.id ORDER BY score DESC, s.id LIMIT 100) " + _reranked("SELECT id FROM b"))
+def sparse_rerank(spark: SparkSession, d: str) -> DataFrame:
+    both = _sparse(spark, d).join(_multi(spark, d).select("id", "multi"), "id")
+    return _round(fusion.sparse_rerank(both, _sparse_query(spark, d), _multi_query(spark, d), 10, 100), "score", "distance")
+
+
 @_register()
 def token_pooling(spark: SparkSession, d: str) -> DataFrame:
-    return multivector.pool_tokens(_multi(spark, d), 2).select("id", F.size("multi").alias("n_tokens"))
+    return multivector.pool_tokens(_multi(spark, d), 2).select("id", F.size("multi").alias("n_tokens"), "multi")
 
 
 # ----------------------------------------------------------------- mutations
@@ -419,6 +473,77 @@ def store_statistics(spark: SparkSession, d: str) -> DataFrame:
     return mutations.statistics(_vectors(spark, d))
 
 
+@_register("SELECT 'c' || c_custkey AS id, c_acctbal AS amount FROM customer UNION ALL SELECT 's' || s_suppkey, s_acctbal FROM supplier")
+def insert_records(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d, "customer", "c_custkey", "c", ["c_acctbal"]), _records(spark, d, "supplier", "s_suppkey", "s", ["s_acctbal"])
+    return mutations.insert(a, b).select("id", "amount")
+
+
+@_register("SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey = 7 THEN '{\"seen\":true}' ELSE '{\"c_name\":\"' || c_name || '\"}' END AS metadata FROM customer")
+def update_record(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.update(_records(spark, d, "customer", "c_custkey", "c", ["c_name"]), "c7", metadata='{"seen":true}').select("id", "metadata")
+
+
+_CREDIT = "SELECT 'c' || c_custkey FROM customer WHERE c_acctbal < 0"
+
+
+@_register(f"SELECT 'record' AS kind, 'c' || c_custkey AS a, '' AS b FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'edge', 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE 'c' || o_custkey NOT IN ({_CREDIT})")
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in debt are deleted, and their orders' edges with them."""
+    c = _records(spark, d, "customer", "c_custkey", "c", ["c_acctbal"])
+    e = _table(spark, d, "orders").select(_name("o", "o_orderkey").alias("from_id"), _name("c", "o_custkey").alias("to_id"), F.lit("by").alias("edge_type"))
+    kept, edges = mutations.delete(c, c.filter("amount < 0").select("id"), e)
+    return kept.select(F.lit("record").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b")).unionAll(edges.select(F.lit("edge"), "from_id", "to_id"))
+
+
+def _store(spark: SparkSession, d: str) -> Store:
+    """A store in memory of all embeddings, with their labels as metadata."""
+    db = Store(spark, CollectionSchema(dense=0, graph=True))
+    db.set(_vectors(spark, d).select(F.col("id").cast("string").alias("id"), "vector", F.to_json(F.struct("label")).alias("metadata")))
+    return db
+
+
+@_register("SELECT vec_id::VARCHAR AS id, label::BIGINT AS label, round(embedding[1]::DOUBLE, 6) + 0.0 AS x FROM embeddings WHERE label <> 3 AND vec_id <> 1 UNION ALL SELECT 'new', 3, 0.5")
+def store_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Set, delete by filter and by id, and set again, through the log."""
+    db = _store(spark, d)
+    db.delete_by_filter({"label": 3})
+    db.delete(["1"])
+    width = db.schema.dense
+    db.set("new", [0.5] * width, {"label": 3})
+    label = F.get_json_object("metadata", "$.label").cast("bigint")
+    return _round(db.records.select("id", label.alias("label"), F.col("vector")[0].cast("double").alias("x")), "x")
+
+
+@_register(f"WITH {_Q}, e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, label FROM embeddings) SELECT id, round({_L2}, 6) AS distance, round(1 / (1 + {_L2}), 6) AS score FROM e, q WHERE label IN (1, 4) ORDER BY {_L2}, id LIMIT 10")
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    found = _store(spark, d).search(_first(spark, d), 10, {"label": {"$in": [1, 4]}})
+    return _round(found.select("id", "distance", "score"), "distance", "score")
+
+
+@_register("SELECT i AS position, CASE WHEN vec_id IS NOT NULL THEN i::VARCHAR END AS id, label::BIGINT AS label FROM range(0, 1000000, 40) t(i) LEFT JOIN embeddings ON vec_id = i WHERE i <= 400")
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of ids in order, with nulls where there is no record."""
+    asked = range(0, 401, 40)
+    rows = _store(spark, d).get_batch([str(i) for i in asked])
+    return spark.createDataFrame([(i, r and r["id"], None if r is None else json.loads(r["metadata"])["label"]) for i, r in zip(asked, rows)], "position bigint, id string, label bigint")
+
+
+@_register("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts by a stream over the events, run to its end."""
+    kind = _table(spark, d, "events").schema
+    # A stream reads folders: that of the table, or the one that holds its file.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    single = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(kind)
+    stream = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
+    name = f"stream_counts_{uuid.uuid4().hex}"
+    counts = ingest.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], late="36500 days")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/{name}").start().awaitTermination()
+    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
 # --------------------------------------------------------------------- graph
 
 
@@ -463,11 +588,55 @@ def graph_traverse_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_register(f"""
-    WITH RECURSIVE {_EDGES}, w AS (SELECT 'n0' AS id, 0 AS depth UNION SELECT e.b, depth + 1 FROM w JOIN e ON e.a = w.id AND e.t = 'next' WHERE depth < 10)
-    SELECT min(depth) AS steps FROM w WHERE id = 'n7'""")
+    WITH RECURSIVE {_EDGES}, w AS (SELECT 'n0' AS id, ['n0'] AS path UNION SELECT e.b, list_append(path, e.b) FROM w JOIN e ON e.a = w.id AND e.t = 'next' WHERE len(path) <= 10),
+    p AS (SELECT path FROM w WHERE id = 'n7' ORDER BY len(path), path LIMIT 1)
+    SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS steps, true AS linked FROM p""")
 def graph_path(spark: SparkSession, d: str) -> DataFrame:
-    path = graph.shortest_path(_edges(spark, d), "n0", "n7", 10, edge_type="next")
-    return spark.createDataFrame([(len(path) - 1 if path else None,)], "steps int")
+    e = _edges(spark, d)
+    path = graph.shortest_path(e, "n0", "n7", 10, edge_type="next")
+    return spark.createDataFrame([(">".join(path), len(path) - 1, graph.has_path(e, "n0", "n7", 7, edge_type="next"))] if path else [], "path string, steps int, linked boolean")
+
+
+_TOUCHING = "a = 'n3' OR b = 'n3'"
+
+
+@_register(f"""
+    WITH {_EDGES} SELECT 'all' AS kind, a AS from_id, b AS to_id, t AS edge_type FROM e WHERE {_TOUCHING}
+    UNION ALL SELECT 'in', a, b, t FROM e WHERE b = 'n3' AND t = 'in' UNION ALL SELECT 'out', a, b, t FROM e WHERE a = 'n3'
+    UNION ALL SELECT 'one', a, b, t FROM e WHERE a = 'n3' AND b = 'n4' AND t = 'next'""")
+def graph_edges_of(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    parts = [("all", graph.edges_involving(e, "n3")), ("in", graph.get_edges(e, "n3", "incoming", "in")), ("out", graph.get_edges(e, "n3", "outgoing")), ("one", graph.get_edge(e, "n3", "n4", "next"))]
+    out = None
+    for kind, part in parts:
+        part = part.select(F.lit(kind).alias("kind"), *graph.KEY)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@_register(f"WITH {_EDGES} SELECT a AS id FROM e WHERE b = 'n3' UNION ALL SELECT b FROM e WHERE a = 'n3'")
+def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbors(_edges(spark, d), "n3", "both")
+
+
+@_register(f"WITH {_EDGES} SELECT a AS from_id, b AS to_id, t AS edge_type, CASE WHEN t = 'next' THEN 2.0 ELSE 1.0 END AS weight FROM e WHERE NOT ({_TOUCHING}) UNION ALL SELECT 'x', 'y', 'next', 2.0")
+def graph_changed(spark: SparkSession, d: str) -> DataFrame:
+    """A node's edges removed, the ring's edges set anew, and one added."""
+    e = _edges(spark, d)
+    ring = e.filter("edge_type = 'next'").withColumn("weight", F.lit(2.0).cast("float"))
+    new = ring.unionByName(spark.createDataFrame([("x", "y", "next", 2.0)], ring.schema))
+    out = graph.remove_node(graph.add_edges(e, new), "n3")
+    return out.select(*graph.KEY, F.col("weight").cast("double").alias("weight"))
+
+
+@_register(f"WITH RECURSIVE {_EDGES}, w AS (SELECT unnest(['r1', 'r2']) AS id, 0 AS depth UNION SELECT e.a, depth + 1 FROM w JOIN e ON e.b = w.id WHERE depth < 1) SELECT DISTINCT id FROM w")
+def graph_expand_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return graph.subgraph(_edges(spark, d), ["r1", "r2"], 1, "incoming")[0]
+
+
+@_register(f"WITH {_EDGES} SELECT a AS id FROM e UNION SELECT b FROM e")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node_ids(_edges(spark, d))
 
 
 @_register(f"WITH {_EDGES}, u AS (SELECT a AS id, a, b, t FROM e UNION SELECT b, a, b, t FROM e) SELECT id, count(*) AS degree FROM u GROUP BY id")
