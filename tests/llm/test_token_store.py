@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from vectrail.llm import token_store as S
 
-RULES = S.StoreRules(block_tokens=500, lanes=4, refresh=64, mix_refresh=32)
+RULES = S.StoreRules(block_tokens=500, lanes=4, refresh=64, mix_refresh=32, window1=20, window2=5)
 needs_vocabulary = pytest.mark.skipif(not Path(S.VOCABULARY).exists(), reason="no vocabulary file here")
 
 
@@ -23,13 +23,16 @@ def test_round_trip(ids, repeat):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20)), min_size=1, max_size=200), st.integers(0, 12))
-def test_histories_like_plain_counting(rows, small):
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20)), min_size=1, max_size=200), st.integers(1, 30))
+def test_histories_like_plain_counting(rows, window):
     c, x = (np.array(v) for v in zip(*rows))
-    got = S._history(c.astype(np.uint64), x, small)
+    got = S._history(c.astype(np.uint64), x, window)
+    fresh = {}
     for i in range(len(x)):
         own = x[:i][c[:i] == c[i]].tolist()
-        assert [int(g[i]) for g in got] == [len(own), len(set(own)), own.count(x[i]), sum(v < x[i] for v in own)]
+        last = own[-window:]
+        assert [int(g[i]) for g in got] == [len(own), last.count(x[i]), sum(v < x[i] for v in last), fresh.get(c[i], 0)]
+        fresh[c[i]] = fresh.get(c[i], 0) + (x[i] not in last)
 
 
 @needs_vocabulary

@@ -4,12 +4,13 @@ Texts become token ids of a public byte-level BPE; documents are laid end to
 end in blocks, each coded on its own and checksummed.
 
 Model.  Orders 0, 1 and 2 each predict the next id by how often ids followed
-the last none, one and two ids in the block so far; the counts of orders 1 and 2
-are up to date at every id, those of order 0 every ``refresh`` ids.  The three
-distributions are mixed linearly.  An order's weight depends on how often its
-context occurred and how many different ids followed; it is learnt within the
-block, from the share that the order had in what came, and brought up to date
-every ``mix_refresh`` ids.
+the last none, one and two ids in the block so far.  Orders 1 and 2 count the
+last ``window1`` and ``window2`` occurrences of the context, up to date at every
+id; order 0 counts all, up to date every ``refresh`` ids.  The three distributions
+are mixed linearly.  An order's weight depends on how often its context occurred
+and how often what followed was new; it is learnt within the block, from the
+share that the order had in what came, and brought up to date every
+``mix_refresh`` ids.
 
 Coder.  A carry-propagating range coder with 48-bit state, driven by the mixed
 cumulative frequencies.  Each block has ``lanes`` coders that take the ids in
@@ -25,6 +26,7 @@ import base64
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,9 +57,11 @@ class StoreRules:
 
     vocabulary: str = VOCABULARY
     block_tokens: int = 65_536
-    lanes: int = 32
-    refresh: int = 512
+    lanes: int = 64
+    refresh: int = 1024
     mix_refresh: int = 2048
+    window1: int = 72
+    window2: int = 32
     ids: int = 50_257
     gain: int = 24
     prior: int = 4
@@ -66,6 +70,8 @@ class StoreRules:
     def __post_init__(self) -> None:
         if not 0 < self.block_tokens <= 65_536 or self.gain * 65_536 + self.ids > _FLOOR:
             raise ValueError("a block has 1 to 65,536 ids, and all counts fit the least share of order 0")
+        if not (0 < self.window1 < 256 and 0 < self.window2 < 256):
+            raise ValueError("windows are from 1 to 255")
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -204,79 +210,63 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(fresh, n, 0))
 
 
-def _smaller_before(start: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
-    """For places in runs (``start``: where a place's run begins), how many
-    earlier places of the run have a smaller value, of values of so many bits: bit
-    by bit from the top, values part into those without and with it, in order, and
-    one with it leaves behind the earlier ones of its run without."""
-    n = len(x)
-    place, left, less = np.arange(n, dtype=np.uint16), start.astype(np.int32), np.zeros(n, np.int32)
-    x = x.astype(np.uint16)
-    for bit in range(bits - 1, -1, -1):
-        one = ((x >> np.uint16(bit)) & np.uint16(1)).astype(bool)
-        zero = ~one
-        rank = np.cumsum(zero, dtype=np.int32)
-        total = int(rank[-1]) if n else 0
-        rank -= zero
-        before = rank[left]
-        i, j = np.flatnonzero(zero), np.flatnonzero(one)
-        b = before[j]
-        less = np.concatenate((less[i], less[j] + rank[j] - b))
-        left = np.concatenate((before[i], left[j] - b + np.int32(total)))
-        x, place = np.concatenate((x[i], x[j])), np.concatenate((place[i], place[j]))
-    out = np.empty(n, np.int64)
-    out[place] = less
-    return out
-
-
-def _history(context: np.ndarray, x: np.ndarray, small: int = 12) -> tuple[np.ndarray, ...]:
-    """For each place of a block (``x``: ranks of its ids), among the earlier ones of the same context:
-    how many there are, how many different ids, how many have this id, and how
-    many a smaller one."""
+def _history(context: np.ndarray, x: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For each place of a block: how many earlier ones have its context; of the
+    last ``window`` of these, how many have this id and how many a smaller one;
+    and how often among all earlier ones an id came that its window lacked."""
     n = len(x)
     key, at = _sorted_places(context)
     start = _starts(key)
-    ids = x[at].astype(np.int64)
+    ids = x.astype(np.uint16)[at]
     count = np.arange(n) - start
-    pair, place = _sorted_places((start.astype(np.uint64) << np.uint64(16)) | ids.astype(np.uint64))
-    same = np.empty(n, np.int64)
-    same[place] = np.arange(n) - _starts(pair)
-    fresh = np.cumsum(same == 0) - (same == 0)
-    kinds = fresh - fresh[start]
-    less = np.zeros(n, np.int64)
+    near = np.minimum(count, 255).astype(np.uint8)
+    same, less = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     size = np.bincount(start, minlength=n)[start]
-    # Small runs by distance, large ones by bits.
-    active, d = np.flatnonzero((count > 0) & (size <= small)), 1
-    while len(active):
-        less[active] += ids[active - d] < ids[active]
-        d += 1
-        active = active[count[active] >= d]
-    large = np.flatnonzero(size > small)
-    if len(large):
-        less[large] = _smaller_before(_starts(start[large]), ids[large], int(x.max()).bit_length())
+    d, longest = 1, int(size.max())
+    for most in (8, 24, 64, window):
+        # From here on in the runs that are long enough.
+        most = min(most, window, longest - 1)
+        if d > most:
+            continue
+        own = slice(None) if d == 1 else np.flatnonzero(size > d)
+        v, k = ids[own], near[own]
+        equal, below = np.zeros(len(v), np.uint8), np.zeros(len(v), np.uint8)
+        some, mine = np.empty(len(v), bool), np.empty(len(v), bool)
+        for d in range(d, most + 1):
+            # The d-th before, where there is one: a window's sum stays below 256.
+            ok, hit, old, new = mine[d:], some[d:], v[:-d], v[d:]
+            np.greater_equal(k[d:], d, out=ok)
+            np.equal(old, new, out=hit)
+            hit &= ok
+            equal[d:] += hit.view(np.uint8)
+            np.less(old, new, out=hit)
+            hit &= ok
+            below[d:] += hit.view(np.uint8)
+        same[own] += equal
+        less[own] += below
+        d = most + 1
+    fresh = np.cumsum(same == 0) - (same == 0)
     out = []
-    for v in (count, kinds, same, less):
-        w = np.empty(n, np.int64)
+    for v in (count, same, less, fresh - fresh[start]):
+        w = np.empty(n, np.int32)
         w[at] = v
         out.append(w)
     return tuple(out)
 
 
 #: Mixing contexts: 0 for a context not met before, else by the logarithms of
-#: how often it was and of how many ids followed.
+#: how often it was and of how often what followed was new.
 _CONTEXTS = 49
-_LOG = np.zeros(65_537, np.int64)
+_LOG = np.zeros(65_537, np.int32)
 for _k in range(1, 17):
     _LOG[1 << _k :] = _k
 _ONE = 1 << _MIX
+#: An order's weight before anything is known, in 2**15ths, by mixing context.
+_FIRST = np.array([0] + [(_ONE << i + 1) // ((2 << i) + (3 << j)) for i in range(8) for j in range(6)])
 
 
-def _context(count: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return np.where(count == 0, 0, 1 + np.minimum(_LOG[count], 7) * 6 + np.minimum(_LOG[kinds], 5))
-
-
-def _first_weight(count: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return (count << (_MIX + 1)) // np.maximum(1, 2 * count + 3 * kinds)
+def _context(count: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    return np.where(count == 0, 0, 1 + np.minimum(_LOG[count], 7) * 6 + np.minimum(_LOG[fresh], 5))
 
 
 def _base(kinds: int, r: StoreRules) -> int:
@@ -292,6 +282,13 @@ def _part(a: np.ndarray, b: np.ndarray | int, n: np.ndarray) -> np.ndarray:
     return (a * b / n).astype(np.int64)
 
 
+def _weights(share: np.ndarray, seen: np.ndarray, r: StoreRules) -> np.ndarray:
+    """By mixing context, in 2**15ths; 0 for a context not met before."""
+    w = ((share + r.prior * _FIRST) << _MIX) // (seen + (r.prior << _MIX))
+    w[0] = 0
+    return w
+
+
 def decisions(x: np.ndarray, r: StoreRules) -> tuple[np.ndarray, np.ndarray]:
     """(low, width) in 2**30ths of every id of a block under the mixture.  Whole
     numbers only: the decoder gets the same."""
@@ -300,16 +297,16 @@ def decisions(x: np.ndarray, r: StoreRules) -> tuple[np.ndarray, np.ndarray]:
     p1[0], p1[1:] = r.ids, x[:-1]
     p2 = np.empty(n, np.uint64)
     p2[0], p2[1:] = r.ids, p1[:-1]
-    orders = []
     # Ids by rank among those that occur.
     seen = np.zeros(1 << 16, bool)
     seen[x] = True
     used = np.flatnonzero(seen)
     rank = (np.cumsum(seen) - 1)[x]
-    for context in (p1, (p2 << np.uint64(17)) | p1):
-        count, kinds, same, less = _history(context, rank)
-        orders.append((np.maximum(count, 1), same, less, _context(count, kinds), _first_weight(count, kinds)))
-    (n1, same1, less1, b1, f1), (n2, same2, less2, b2, f2) = orders
+    orders = []
+    for context, window in ((p1, r.window1), ((p2 << np.uint64(17)) | p1, r.window2)):
+        count, same, less, fresh = _history(context, rank, window)
+        orders.append((np.clip(count, 1, window), same, less, _context(count, fresh)))
+    (n1, same1, less1, b1), (n2, same2, less2, b2) = orders
     # Order 0 over the ids that occur; every id has a base besides.
     cum, own, total = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
     met = np.zeros(len(used) + 1, np.int64)
@@ -327,9 +324,7 @@ def decisions(x: np.ndarray, r: StoreRules) -> tuple[np.ndarray, np.ndarray]:
     for a in range(0, n, r.mix_refresh):
         i = slice(a, min(n, a + r.mix_refresh))
         c1, c2 = b1[i], b2[i]
-        w2 = ((s2[c2] + r.prior * f2[i]) << _MIX) // (t2[c2] + (r.prior << _MIX))
-        w1 = ((s1[c1] + r.prior * f1[i]) << _MIX) // (t1[c1] + (r.prior << _MIX))
-        w2[c2 == 0], w1[c1 == 0] = 0, 0
+        w2, w1 = _weights(s2, t2, r)[c2], _weights(s1, t1, r)[c1]
         a2 = (w2 * scale) >> _MIX
         a1 = ((_ONE - w2) * w1 >> _MIX) * scale >> _MIX
         a0 = (1 << _TOTAL) - a2 - a1
@@ -486,12 +481,13 @@ def decode_block(data: bytes, r: StoreRules = StoreRules()) -> np.ndarray:
 
 def _decode(n: int, coders: list[_Decoder], r: StoreRules) -> list[int]:
     ids: list[int] = []
-    # Context -> ids that followed, in order and as often as they did, and how
-    # many are different.
+    # Context -> the ids of its window as they came, the same in order, how often
+    # it occurred, how often what followed was new.
     known1: dict = {}
     known2: dict = {}
-    s1, t1, s2, t2 = ([0] * _CONTEXTS for _ in range(4))
+    s1, t1, s2, t2 = (np.zeros(_CONTEXTS, np.int64) for _ in range(4))
     new1, tot1, new2, tot2 = ([0] * _CONTEXTS for _ in range(4))
+    weight1 = weight2 = [0] * _CONTEXTS
     counts, cum, total = np.zeros(r.ids + 1, np.int64), [], 0
     p1 = p2 = r.ids
     scale, log = (1 << _TOTAL) - _FLOOR, _LOG.tolist()
@@ -503,20 +499,13 @@ def _decode(n: int, coders: list[_Decoder], r: StoreRules) -> list[int]:
             total = cum[-1]
         if t % r.mix_refresh == 0:
             for to, part in ((s1, new1), (t1, tot1), (s2, new2), (t2, tot2)):
-                for k, v in enumerate(part):
-                    to[k] += v
-                    part[k] = 0
-        e = known1.get(p1)
-        l1, k1 = e if e else ((), 0)
-        g = known2.get((p2, p1))
-        l2, k2 = g if g else ((), 0)
-        n1, n2, c1, c2, w1, w2 = len(l1), len(l2), 0, 0, 0, 0
-        if n1:
-            c1 = 1 + min(log[n1], 7) * 6 + min(log[k1], 5)
-            w1 = ((s1[c1] + r.prior * ((n1 << _MIX + 1) // (2 * n1 + 3 * k1))) << _MIX) // (t1[c1] + (r.prior << _MIX))
-        if n2:
-            c2 = 1 + min(log[n2], 7) * 6 + min(log[k2], 5)
-            w2 = ((s2[c2] + r.prior * ((n2 << _MIX + 1) // (2 * n2 + 3 * k2))) << _MIX) // (t2[c2] + (r.prior << _MIX))
+                to += np.array(part)
+                part[:] = [0] * _CONTEXTS
+            weight1, weight2 = _weights(s1, t1, r).tolist(), _weights(s2, t2, r).tolist()
+        e, g = known1.get(p1), known2.get((p2, p1))
+        l1, c1 = (e[1], 1 + min(log[e[2]], 7) * 6 + min(log[e[3]], 5)) if e else ((), 0)
+        l2, c2 = (g[1], 1 + min(log[g[2]], 7) * 6 + min(log[g[3]], 5)) if g else ((), 0)
+        n1, n2, w1, w2 = len(l1), len(l2), weight1[c1], weight2[c2]
         a2 = (w2 * scale) >> _MIX
         a1 = ((_ONE - w2) * w1 >> _MIX) * scale >> _MIX
         a0 = (1 << _TOTAL) - a2 - a1
@@ -542,14 +531,19 @@ def _decode(n: int, coders: list[_Decoder], r: StoreRules) -> list[int]:
         tot2[c2] += _ONE
         new1[c1] += (e1 << _MIX) // (e1 + e0) * (_ONE - r2) >> _MIX
         tot1[c1] += _ONE - r2
-        for known, key, own, k in ((known1, p1, l1, k1), (known2, (p2, p1), l2, k2)):
-            if not own:
-                known[key] = [[x], 1]
+        for known, key, own, window in ((known1, p1, e, r.window1), (known2, (p2, p1), g, r.window2)):
+            if own is None:
+                known[key] = [deque((x,)), [x], 1, 1]
                 continue
-            place = bisect_left(own, x)
-            if place == len(own) or own[place] != x:
-                known[key][1] = k + 1
-            own.insert(place, x)
+            came, order = own[0], own[1]
+            place = bisect_left(order, x)
+            if place == len(order) or order[place] != x:
+                own[3] += 1
+            own[2] += 1
+            order.insert(place, x)
+            came.append(x)
+            if len(came) > window:
+                del order[bisect_left(order, came.popleft())]
         ids.append(x)
         p2, p1 = p1, x
     return ids
