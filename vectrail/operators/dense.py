@@ -115,19 +115,32 @@ def batch_top_k(
 def _query_blocks(queries: DataFrame, m: str, most: int) -> Iterator[tuple[list, np.ndarray]]:
     """Ids and vectors of the queries, block by block; one empty block if there
     are none."""
+    values = queries.agg(F.sum(F.size(queries.columns[1]))).first()[0] or 0
+    if values <= most:
+        t = queries.toArrow()
+        column = t.column(1).combine_chunks()
+        sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+        if column.null_count or len(sizes) > 1:
+            raise ValueError("queries have different dimensions, or there is a null")
+        q = matrix(column)
+        if not np.isfinite(q).all():
+            raise ValueError("query holds NaN or Infinity")
+        if m == "cosine" and not (q != 0).any(axis=1).all():
+            raise ValueError("cosine distance to a zero vector is undefined")
+        yield t.column(0).to_pylist(), q
+        return
     names: list = []
     rows: list = []
-    held, some = 0, False
+    held = 0
     for name, v in queries.toLocalIterator():
         if rows and held + len(v) > most:
             yield names, np.array(rows, float)
-            names, rows, held, some = [], [], 0, True
+            names, rows, held = [], [], 0
         check_query(v, 1, m, len(rows[0]) if rows else None)
         names.append(name)
         rows.append(v)
         held += len(v)
-    if rows or not some:
-        yield names, np.array(rows, float)
+    yield names, np.array(rows, float)
 
 
 def _exact(m: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -164,39 +177,46 @@ class _Nearest:
         # Single precision does for a first look, where nothing overflows.
         kind = np.float32 if max(largest, float(np.sqrt(self.q2.max(initial=0.0)))) < 1e15 and np.isfinite(n2).all() else np.float64
         unit = np.finfo(kind).eps * (width + 16)
-        near, size = x.astype(kind), n2.astype(kind)
+        # One product gives what orders the rows: |x|^2 - 2 q.x, -q.x or -q.x / |x|.
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            if self.m == "cosine":
+                near = (x / np.sqrt(n2)[:, None]).astype(kind)
+            else:
+                near = np.concatenate([x, n2[:, None]], 1).astype(kind) if self.m == "l2" else x.astype(kind)
         take = min(len(x), self.k)
         for first in range(0, len(self.q), 256):
             part = self.q[first : first + 256]
             own = np.sqrt(self.q2[first : first + 256])
-            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-                rough = part.astype(kind) @ near.T
-                if self.m == "l2":
-                    rough *= -2
-                    rough += size
-                    slack = unit * (2 * own * largest + largest**2)
-                elif self.m == "dot":
-                    np.negative(rough, out=rough)
-                    slack = unit * own * largest
-                else:
-                    rough /= -np.sqrt(size)
-                    slack = unit * own
+            asked = np.concatenate([-2 * part, np.ones((len(part), 1))], 1) if self.m == "l2" else -part
+            with np.errstate(invalid="ignore", over="ignore"):
+                rough = asked.astype(kind) @ near.T
+            # Rounding may swap rows by twice this.
+            slack = 2 * unit * (own * (2 * largest if self.m == "l2" else largest if self.m == "dot" else 1) + (largest**2 if self.m == "l2" else 0))
             edge = self.edge[first : first + 256]
             open_ = np.flatnonzero(np.isinf(edge))
             if len(open_) and take < len(x):
-                clean = np.where(np.isnan(rough[open_]), np.inf, rough[open_])
-                edge = edge.copy()
-                # Rounding may swap rows by twice the slack; ties all stay.
-                edge[open_] = np.partition(clean, take - 1, axis=1)[:, take - 1] + 2 * np.nan_to_num(slack[open_], nan=np.inf)
+                clean = rough[open_]
+                clean[np.isnan(clean)] = np.inf
+                edge[open_] = np.partition(clean, take - 1, axis=1)[:, take - 1] + slack[open_]
             with np.errstate(invalid="ignore"):
-                # Not "rough <= edge": a NaN may be among the closest of few.
-                qi, xi = np.nonzero(~(rough > (edge + 2 * slack)[:, None]) if np.isinf(edge).any() else rough <= (edge + 2 * slack)[:, None])
+                # Not "rough <= edge" for all: a NaN may be among the closest of few.
+                hit = rough <= (edge + slack).astype(kind)[:, None]
+                loose = np.isinf(edge)
+                if loose.any():
+                    hit[loose] = True
+            qi, xi = np.nonzero(hit)
             d = _exact(self.m, x[xi], part[qi])
             lost = np.isnan(d)
             self.new.append(pa.table({"q": pa.array(qi + first), "d": pa.array(np.where(lost, np.inf, d)), "nan": pa.array(lost), "id": ids.take(pa.array(xi))}, schema=self.held.schema))
             self.n_new += len(qi)
-            if take == self.k:
-                self.edge[first : first + 256] = np.minimum(self.edge[first : first + 256], edge)
+            # Where k rows were found the edge moves in to the k-th of them.
+            found = np.bincount(qi, minlength=len(part))
+            full = np.flatnonzero((found >= self.k) & ~loose)
+            if len(full):
+                value = rough[qi, xi]
+                value = value[np.lexsort((value, qi))]
+                kth = value[(np.cumsum(found) - found)[full] + self.k - 1]
+                edge[full] = np.minimum(edge[full], kth + slack[full])
         if self.n_new > 4 * self.k * len(self.q) + 100_000:
             self.settle()
 
@@ -218,11 +238,14 @@ def _block_top_k(found: DataFrame, names: list, q: np.ndarray, name_kind: T.Data
         names, q = block.value
         if not names:
             return
-        best = _Nearest(q, k, m, kinds[1])
+        best, size = _Nearest(q, k, m, kinds[1]), 1024
         for b in batches:
-            for first in range(0, b.num_rows, 8192):
-                part = b.slice(first, 8192)
+            first = 0
+            while first < b.num_rows:
+                # A short start, which narrows what the rest is held against.
+                part = b.slice(first, size)
                 best.add(part.column(0).cast(kinds[1]), matrix(part.column(1)))
+                first, size = first + part.num_rows, 4096
         best.settle()
         t = best.held
         d = np.where(t["nan"].to_numpy(), np.nan, t["d"].to_numpy())
