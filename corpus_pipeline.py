@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vectrail.llm import decontaminate, mixing, ngram_join, quality_classifier, token_store
 from vectrail.llm.common import shared_dir, table
+from vectrail.sources.shared import cleaned, drop_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table.  What a stage left behind, and the table before
+    it, are deleted once its own is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleaned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop_table(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -223,3 +223,17 @@ def test_multi_modes_and_limits(spark):
     with pytest.raises(ValueError):
         db.store("c", [1.0, 2.0])
     assert len(db.get_tokens("a")) == 1 and len(db.get_data("b")) == 1 and db.get_data("zz") is None
+
+
+def test_intermediate_tables_are_cleaned(spark):
+    import os
+
+    from vectrail.sources import shared
+
+    with shared.cleaned(spark):
+        t = shared.written(spark.range(3), "scoped")
+        path = t.inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert t.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+    kept = shared.written(spark.range(2), "unscoped")
+    assert kept.count() == 2
