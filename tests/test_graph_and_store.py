@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vectrail.operators import graph, mutations
 from vectrail.sources import store as S
-from vectrail.sources.adapters import RetrievalStore
+from vectrail.sources.adapters import Document, Node, NodeStore, RetrievalStore
 from vectrail.streaming import ingest as stream
 
 
@@ -131,6 +131,20 @@ def test_adapter(spark):
     assert [d.id for d in r.get_by_ids(["y", "z"])] == ["y"] and r.delete(["x"]) and len(db) == 1
 
 
+def test_more_of_the_adapters(spark):
+    db = S.Store(spark, S.CollectionSchema(dense=2), embed=lambda texts: [[float(len(t)), 1.0] for t in texts])
+    r = RetrievalStore.from_texts(db, ["aa", "bbbb"], [{"k": 1}, {"k": 2}], ["x", "y"])
+    assert [d.id for d in r.similarity_search_by_vector([4.0, 1.0], 1)] == ["y"]
+    assert len(RetrievalStore.from_documents(db, [Document("cccccc", {"k": 3}, "z")]).get_by_ids(["z"])) == 1
+    n = NodeStore(db)
+    assert n.add([Node("n1", "one", [50.0, 1.0], {"a": 1}, "doc"), Node("n2", "two", None, {"a": 2}, "doc"), Node("n3", "three", [70.0, 1.0], {"a": 3}, "other")]) == ["n1", "n2", "n3"]
+    (found, score), *_ = n.query([50.0, 1.0], 1, [{"key": "a", "operator": "<", "value": 3}])
+    assert (found.node_id, found.text, found.ref_doc_id, found.metadata) == ("n1", "one", "doc", {"a": 1}) and score == 1.0
+    assert n.delete_nodes(["n1", "n3"], [{"key": "a", "value": 3}]) == 1 and n.delete("doc") == 2 and len(db) == 3
+    with pytest.raises(ValueError):
+        n.delete_nodes()
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "upsert", "a", [1.0, 0.0]), (2, "upsert", "b", [0.0, 1.0]), (3, "delete", "a", None), (4, "upsert", "a", [0.5, 0.5])]
     source = str(tmp_path / "in")

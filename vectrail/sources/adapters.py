@@ -9,7 +9,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from ..functions.filters import from_triples
+from ..operators.dense import predicate
 from .store import Store
 
 
@@ -27,6 +30,18 @@ class RetrievalStore:
     def __init__(self, store: Store) -> None:
         self.store = store
 
+    @classmethod
+    def from_texts(cls, store: Store, texts: Sequence[str], metadatas: Sequence[Mapping[str, Any]] | None = None, ids: Sequence[str] | None = None) -> RetrievalStore:
+        made = cls(store)
+        made.add_texts(texts, metadatas, ids)
+        return made
+
+    @classmethod
+    def from_documents(cls, store: Store, documents: Sequence[Document]) -> RetrievalStore:
+        made = cls(store)
+        made.add_documents(documents)
+        return made
+
     def add_texts(self, texts: Sequence[str], metadatas: Sequence[Mapping[str, Any]] | None = None, ids: Sequence[str] | None = None) -> list[str]:
         names = list(ids) if ids else [uuid.uuid4().hex for _ in texts]
         metas = metadatas or [{}] * len(texts)
@@ -46,6 +61,9 @@ class RetrievalStore:
     def similarity_search(self, query: str | Sequence[float], k: int = 4, filter: Mapping[str, Any] | None = None) -> list[Document]:
         return [d for d, _ in self.similarity_search_with_score(query, k, filter)]
 
+    def similarity_search_by_vector(self, embedding: Sequence[float], k: int = 4, filter: Mapping[str, Any] | None = None) -> list[Document]:
+        return self.similarity_search(embedding, k, filter)
+
     def query(self, embedding: Sequence[float], k: int = 4, filters: list[Mapping[str, Any]] | None = None, condition: str = "and") -> list[tuple[str, float]]:
         """Ids and scores, under filters of key, operator and value."""
         where = from_triples(filters, condition) if filters else None
@@ -61,3 +79,56 @@ class RetrievalStore:
 
     def delete(self, ids: Sequence[str]) -> bool:
         return self.store.delete(self.store.spark.createDataFrame([(i,) for i in ids], "id string")) > 0
+
+
+@dataclass
+class Node:
+    """A piece of a source document, ``ref_doc_id``, with its embedding."""
+
+    node_id: str
+    text: str
+    embedding: Sequence[float] | None = None
+    metadata: dict[str, Any] = field(default_factory=dict)
+    ref_doc_id: str | None = None
+
+
+class NodeStore:
+    """add, delete, delete_nodes and query over nodes.  The source document's id
+    is kept in the metadata."""
+
+    REF = "ref_doc_id"
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+
+    def add(self, nodes: Sequence[Node]) -> list[str]:
+        items = []
+        for n in nodes:
+            meta = {**n.metadata, **({} if n.ref_doc_id is None else {self.REF: n.ref_doc_id})}
+            items.append({"id": n.node_id, "metadata": meta, **({"document": n.text} if n.embedding is None else {"vector": n.embedding, "text": n.text})})
+        self.store.set(items)
+        return [n.node_id for n in nodes]
+
+    def delete(self, ref_doc_id: str) -> int:
+        """Delete all nodes of a source document."""
+        return self.store.delete_by_filter({self.REF: ref_doc_id})
+
+    def delete_nodes(self, node_ids: Sequence[str] | None = None, filters: list[Mapping[str, Any]] | None = None, condition: str = "and") -> int:
+        """Delete by ids, by filters, or nodes of both."""
+        if not node_ids and not filters:
+            raise ValueError("give ids or filters")
+        found = self.store.records
+        if filters:
+            found = found.filter(predicate(found, from_triples(filters, condition)))
+        if node_ids:
+            found = found.filter(F.col("id").isin(list(node_ids)))
+        return self.store.delete(found.select("id"))
+
+    def query(self, embedding: Sequence[float] | str, k: int = 4, filters: list[Mapping[str, Any]] | None = None, condition: str = "and") -> list[tuple[Node, float]]:
+        """Nodes and scores, closest first."""
+        out = []
+        where = from_triples(filters, condition) if filters else None
+        for r in self.store.search(embedding, k, where).collect():
+            meta = json.loads(r["metadata"] or "{}")
+            out.append((Node(r["id"], meta.pop("text", ""), None, meta, meta.pop(self.REF, None)), r["score"]))
+        return out
