@@ -85,6 +85,21 @@ def test_batch_over_many_arrow_batches_and_large_norms(spark):
     assert got == [(f"v{j:04}", f"v{i:04}") for j in range(20) for i in sorted(range(3000), key=lambda i: (d[i, j], i))[:7]]
 
 
+def test_cells_of_a_batch(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(20, 12))
+    x = centers[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 12)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    q = df.filter("id < 200").selectExpr("id as query_id", "vector as q")
+    c = dense.train_cells(df, 16)
+    indexed = dense.assign_cells(df, c)
+    plain = lambda f: {(r.query_id, r["rank"], r.id) for r in f.collect()}
+    exact = plain(dense.batch_top_k(df, q, 10))
+    assert plain(dense.probe_batch(indexed, q, 10, c, 16)) == exact
+    hits = {(a, i) for a, _, i in plain(dense.probe_batch(indexed, q, 10, c, 4, max_query_values=600))}
+    assert len(hits & {(a, i) for a, _, i in exact}) >= 0.9 * 2000
+
+
 def test_value_at_is_exact(spark):
     from vectrail.functions import vectors as V
 

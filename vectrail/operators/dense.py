@@ -171,7 +171,9 @@ class _Nearest:
         self.new: list[pa.Table] = []
         self.n_new = 0
 
-    def add(self, ids: pa.Array, x: np.ndarray) -> None:
+    def add(self, ids: pa.Array, x: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Hold more vectors against all queries, or against some."""
+        rows = np.arange(len(self.q)) if rows is None else rows
         n2 = (x * x).sum(1)
         largest, width = float(np.sqrt(np.nanmax(n2, initial=0.0))), x.shape[1]
         # Single precision does for a first look, where nothing overflows.
@@ -184,15 +186,16 @@ class _Nearest:
             else:
                 near = np.concatenate([x, n2[:, None]], 1).astype(kind) if self.m == "l2" else x.astype(kind)
         take = min(len(x), self.k)
-        for first in range(0, len(self.q), 256):
-            part = self.q[first : first + 256]
-            own = np.sqrt(self.q2[first : first + 256])
+        for first in range(0, len(rows), 256):
+            own_rows = rows[first : first + 256]
+            part = self.q[own_rows]
+            own = np.sqrt(self.q2[own_rows])
             asked = np.concatenate([-2 * part, np.ones((len(part), 1))], 1) if self.m == "l2" else -part
             with np.errstate(invalid="ignore", over="ignore"):
                 rough = asked.astype(kind) @ near.T
             # Rounding may swap rows by twice this.
             slack = 2 * unit * (own * (2 * largest if self.m == "l2" else largest if self.m == "dot" else 1) + (largest**2 if self.m == "l2" else 0))
-            edge = self.edge[first : first + 256]
+            edge = self.edge[own_rows]
             open_ = np.flatnonzero(np.isinf(edge))
             if len(open_) and take < len(x):
                 clean = rough[open_]
@@ -207,7 +210,7 @@ class _Nearest:
             qi, xi = np.nonzero(hit)
             d = _exact(self.m, x[xi], part[qi])
             lost = np.isnan(d)
-            self.new.append(pa.table({"q": pa.array(qi + first), "d": pa.array(np.where(lost, np.inf, d)), "nan": pa.array(lost), "id": ids.take(pa.array(xi))}, schema=self.held.schema))
+            self.new.append(pa.table({"q": pa.array(own_rows[qi]), "d": pa.array(np.where(lost, np.inf, d)), "nan": pa.array(lost), "id": ids.take(pa.array(xi))}, schema=self.held.schema))
             self.n_new += len(qi)
             # Where k rows were found the edge moves in to the k-th of them.
             found = np.bincount(qi, minlength=len(part))
@@ -217,6 +220,7 @@ class _Nearest:
                 value = value[np.lexsort((value, qi))]
                 kth = value[(np.cumsum(found) - found)[full] + self.k - 1]
                 edge[full] = np.minimum(edge[full], kth + slack[full])
+            self.edge[own_rows] = edge
         if self.n_new > 4 * self.k * len(self.q) + 100_000:
             self.settle()
 
@@ -348,3 +352,47 @@ def cell_radii(indexed: DataFrame, centroids: np.ndarray, vector_col: str = "vec
 
     held = indexed.filter(F.col(vector_col).isNotNull()).select("cell", vector_col)
     return {r["cell"]: r["r"] for r in held.mapInArrow(run, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect()}
+
+
+def probe_batch(indexed: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, nprobe: int, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_col: str = "q", max_query_values: int = 8_000_000) -> DataFrame:
+    """(query_id, id, ``distance``, ``rank``) of the k closest records of every
+    query within the ``nprobe`` cells whose centroids are closest to it:
+    approximate, exact if all cells are probed.  Blocks and ties as in
+    ``batch_top_k``; vectors and queries meet only where the cell is probed."""
+    if k <= 0 or nprobe <= 0:
+        raise ValueError("k and nprobe must be positive")
+    m = V.metric_name(metric)
+    found = indexed.filter(F.col(vector_col).isNotNull())
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, found.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    near = None
+    for names, q in _query_blocks(queries.select(query_id, query_col), m, max_query_values):
+        gaps = (centroids * centroids).sum(1)[None, :] - 2 * q @ centroids.T if len(q) else np.zeros((0, len(centroids)))
+        take = min(nprobe, len(centroids))
+        cells = np.argpartition(gaps, take - 1, axis=1)[:, :take].astype(np.int32) if len(q) else np.zeros((0, 0), np.int32)
+        block = found.sparkSession.sparkContext.broadcast((names, q, cells))  # at most max_query_values numbers
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            names, q, cells = block.value
+            if not names:
+                return
+            asking = [np.flatnonzero((cells == j).any(1)) for j in range(len(centroids))]
+            best = _Nearest(q, k, m, kinds[1])
+            for b in batches:
+                cell = b.column(2).to_numpy()
+                order = np.argsort(cell, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    if len(rows) and len(asking[cell[rows[0]]]):
+                        for first in range(0, len(rows), 4096):
+                            part = b.take(pa.array(rows[first : first + 4096]))
+                            best.add(part.column(0).cast(kinds[1]), matrix(part.column(1)), asking[cell[rows[0]]])
+            best.settle()
+            t = best.held
+            d = np.where(t["nan"].to_numpy(), np.nan, t["d"].to_numpy())
+            out = pa.table([pa.array(names, kinds[0]).take(t["q"].combine_chunks()), t["id"], pa.array(d)], names=schema.names)
+            yield from out.combine_chunks().to_batches(max_chunksize=65_536)
+
+        part = found.select(id_col, vector_col, F.col("cell").cast("int").alias("cell")).mapInArrow(run, schema)
+        near = part if near is None else near.unionAll(part)
+    w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(id_col).asc())
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, id_col, "distance", "rank")
