@@ -251,3 +251,23 @@ def test_intermediate_tables_are_cleaned(spark):
     assert not os.path.exists(path)
     kept = shared.written(spark.range(2), "unscoped")
     assert kept.count() == 2
+
+
+def test_index_of_a_store(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    db = S.create(spark, str(tmp_path / "s"), S.CollectionSchema(dense=4))
+    db.set(spark.createDataFrame([(f"v{i:03}", v.tolist(), f'{{"half":{i % 2}}}') for i, v in enumerate(x)], "id string, vector array<float>, metadata string"))
+    with pytest.raises(ValueError, match="build_index"):
+        db.search_index([0, 0, 0, 0])
+    made = db.build_index()
+    assert made["cells"] == 20 and made["vectors"] == 400 and 0 < made["largest_share"] < 1
+    again = S.open_store(spark, db.path)  # the index is kept
+    exact = [r.id for r in again.search(x[5], 5, {"half": 1}).collect()]
+    assert [r.id for r in again.search_index(x[5], 5, {"half": 1}, nprobe=20).collect()] == exact
+    assert len({r.id for r in again.search_index(x[5], 5, {"half": 1}, "accurate").collect()} & set(exact)) >= 3
+    again.delete(["v005"])
+    with pytest.raises(ValueError, match="build_index"):
+        again.search_index([0, 0, 0, 0])

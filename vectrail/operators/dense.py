@@ -9,7 +9,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -396,3 +396,34 @@ def probe_batch(indexed: DataFrame, queries: DataFrame, k: int, centroids: np.nd
         near = part if near is None else near.unionAll(part)
     w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(id_col).asc())
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, id_col, "distance", "rank")
+
+
+#: Cells probed of a thousand, by preset.
+PRESETS = {"fast": 30, "balanced": 80, "accurate": 200}
+
+
+def cell_plan(n: int, preset: str = "balanced") -> tuple[int, int]:
+    """(cells, nprobe) for n vectors: about sqrt(n) cells."""
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset!r}; one of {', '.join(PRESETS)}")
+    cells = max(1, min(4096, math.isqrt(max(1, n))))
+    return cells, max(1, -(-cells * PRESETS[preset] // 1000))
+
+
+def save_cells(indexed: DataFrame, centroids: np.ndarray, path: str) -> None:
+    """Write an index: vectors by cell, so that a search reads only what it
+    probes, and the centroids."""
+    indexed.write.partitionBy("cell").parquet(f"{path}/vectors")
+    rows = [(j, c.tolist()) for j, c in enumerate(centroids)]
+    indexed.sparkSession.createDataFrame(rows, "cell int, centroid array<double>").write.parquet(f"{path}/centroids")
+
+
+def load_cells(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # one for each cell
+    return spark.read.parquet(f"{path}/vectors"), np.array([r["centroid"] for r in rows])
+
+
+def cell_statistics(indexed: DataFrame, centroids: np.ndarray) -> dict[str, float]:
+    """Cells, those in use, vectors, and the largest cell's share of them."""
+    sizes = [r["count"] for r in indexed.filter("cell >= 0").groupBy("cell").count().collect()]
+    return {"cells": len(centroids), "used": len(sizes), "vectors": sum(sizes), "largest_share": max(sizes) / sum(sizes) if sizes else 0.0}

@@ -521,6 +521,14 @@ def store_search(spark: SparkSession, d: str) -> DataFrame:
     return _round(found.select("id", "distance", "score"), "distance", "score")
 
 
+@_register(f"WITH {_Q}, e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT id, round({_L2}, 6) AS distance, round(1 / (1 + {_L2}), 6) AS score FROM e, q ORDER BY {_L2}, id LIMIT 10")
+def store_index(spark: SparkSession, d: str) -> DataFrame:
+    """By the store's cells, all of them probed, so that the result is exact."""
+    db = _store(spark, d)
+    made = db.build_index(cells=12)
+    return _round(db.search_index(_first(spark, d), 10, nprobe=int(made["cells"])).select("id", "distance", "score"), "distance", "score")
+
+
 @_register("SELECT i AS position, CASE WHEN vec_id IS NOT NULL THEN i::VARCHAR END AS id, label::BIGINT AS label FROM range(0, 1000000, 40) t(i) LEFT JOIN embeddings ON vec_id = i WHERE i <= 400")
 def store_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A batch of ids in order, with nulls where there is no record."""

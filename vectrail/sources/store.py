@@ -456,6 +456,41 @@ class Store:
         self._needs("dense", "search_batch")
         return dense.batch_top_k(self._records, queries, k, self.schema.metric, where or None, max_distance)
 
+    # ----------------------------------------------------------------- index
+
+    def build_index(self, preset: str = "balanced", cells: int | None = None) -> dict[str, float]:
+        """Cells over the vectors as they are now, written beside the records;
+        its statistics.  Records that change later make it stale."""
+        self._needs("dense", "build_index")
+        self._live()
+        held = self._records.filter("vector is not null").select("id", "vector", "metadata")
+        planned, _ = dense.cell_plan(held.count(), preset)
+        centroids = dense.train_cells(held, cells or planned)
+        fs, p = _fs(self.spark, self._home)
+        at = f"{self._home}/index/{self._epoch}"
+        fs.delete(p(f"{self._home}/index"), True)
+        dense.save_cells(dense.assign_cells(held, centroids), centroids, at)
+        return self.index_statistics()
+
+    def _index(self) -> tuple[DataFrame, Any]:
+        fs, p = _fs(self.spark, self._home)
+        at = f"{self._home}/index/{self._epoch}"
+        if not fs.exists(p(f"{at}/centroids/_SUCCESS")):
+            raise ValueError("no index of the records as they are: call build_index")
+        return dense.load_cells(self.spark, at)
+
+    def index_statistics(self) -> dict[str, float]:
+        return dense.cell_statistics(*self._index())
+
+    def search_index(self, query: Sequence[float] | str, k: int = 10, where: Mapping[str, Any] | None = None, preset: str = "balanced", nprobe: int | None = None) -> DataFrame:
+        """The k closest of those that match within the probed cells; the filter
+        comes before the top k."""
+        self._needs("dense", "search_index")
+        q = dense.check_query(self._query(query), k, self.schema.metric, self.schema.dense or None)
+        indexed, centroids = self._index()
+        probes = nprobe or max(1, -(-len(centroids) * dense.PRESETS[preset] // 1000))
+        return dense.probe_top_k(indexed, q, k, centroids, probes, metric=self.schema.metric, where=where or None, keep=["metadata"])
+
     def search_sparse(self, query, k: int = 10, where: Mapping[str, Any] | None = None) -> DataFrame:
         self._needs("sparse", "search_sparse")
         return sparse.search_sparse(self._records, query, k, where or None)
