@@ -184,10 +184,12 @@ def id_count(spark: SparkSession, text: Column, rules: StoreRules = StoreRules()
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = Tokenizer(words.value)
+        tokenizer = Tokenizer(words.value, 100_000)
         for b in batches:
-            parts = [tokenizer.batch(b.slice(first, 2048))[1] for first in range(0, len(b), 2048)]
+            parts = [tokenizer.batch(b.slice(first, 1024))[1] for first in range(0, len(b), 1024)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        # Workers outlive their tasks; what Arrow holds back would add up.
+        pa.default_memory_pool().release_unused()
 
     return count(text)
 
