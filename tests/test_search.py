@@ -161,6 +161,14 @@ def test_bm25_and_hybrid(spark, hybrid):
             fusion.hybrid_text(hybrid, golden(1, 128), "x", **{"k": 1, **bad})
 
 
+def test_batch_bm25_ties_to_nine_places_and_rarest_terms(spark):
+    # Document 2 is better by far less than nine places show.
+    index = spark.createDataFrame([("a", 1, 1, 10.0 + 1e-10), ("a", 2, 1, 10.0), ("a", 3, 1, 10.0), ("b", 3, 2, 10.0), ("b", 4, 1, 10.0)], "term string, id int, tf int, doc_len double")
+    q = spark.createDataFrame([(0, ["a"]), (1, ["a", "b", "a"]), (2, ["a", "none"]), (3, [])], "query_id int, terms array<string>")
+    got = [(r.query_id, r.id, r["rank"]) for r in text.batch_bm25(index, 9, 10.0, q, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (1, 3, 1)]
+
+
 def test_fuse_counts_ranks(spark):
     v = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "id string, distance double")
     t = spark.createDataFrame([("b", 3.0), ("c", 1.0)], "id string, score double")

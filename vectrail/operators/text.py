@@ -63,13 +63,18 @@ def index_terms(docs: DataFrame, tokenizer: str = "default", id_col: str = "id",
 
 def batch_bm25(index: DataFrame, n_docs: int, average: float, queries: DataFrame, k: int, id_col: str = "id", query_id: str = "query_id", terms_col: str = "terms", params: Bm25 = Bm25()) -> DataFrame:
     """(query_id, id, ``score``, ``rank``) against a stored index; ``terms`` are
-    the queries' distinct terms, all of which must occur."""
+    the queries' distinct terms, all of which must occur.  Scores that agree to
+    nine places are ties, by id: a sum's last bits follow the order of its terms."""
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select(query_id, F.array_distinct(terms_col).alias("__t")).select(query_id, F.size("__t").alias("need"), F.explode("__t").alias("term")).join(df, "term")
+    # All terms must occur: only the documents of a query's rarest are looked at.
+    rarest = Window.partitionBy(query_id).orderBy("df", "term")
+    lead = q.withColumn("__n", F.row_number().over(rarest)).filter("__n = 1").select(query_id, "term")
+    asked = index.join(lead, "term").select(query_id, id_col).join(q, query_id)
     tf, idf = F.col("tf"), F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * F.col("doc_len") / average))
-    scores = index.join(q, "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"), F.count("*").alias("got"), F.first("need").alias("need")).filter("got = need")
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
+    scores = index.join(asked, ["term", id_col]).groupBy(query_id, id_col).agg(F.sum(part).alias("score"), F.count("*").alias("got"), F.first("need").alias("need")).filter("got = need")
+    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), F.asc(id_col))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, id_col, "score", "rank")
 
 
