@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vectrail.operators import dense, fusion, multivector, sparse, text
@@ -85,6 +86,31 @@ def test_batch_over_many_arrow_batches_and_large_norms(spark):
     assert got == [(f"v{j:04}", f"v{i:04}") for j in range(20) for i in sorted(range(3000), key=lambda i: (d[i, j], i))[:7]]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_batch_ties_to_nine_places(spark, metric):
+    # Record 9 is closer by far less than nine places show.
+    df = spark.createDataFrame([(3, [3.0, 4.0 - 1e-11]), (5, [0.0, -9.0]), (9, [3.0, 4.0])], "id int, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [3.0, 4.0])], "query_id int, q array<double>")
+    for k in (1, 2):
+        assert [r.id for r in dense.batch_top_k(df, q, k, metric).orderBy("rank").collect()] == [3, 9][:k]
+
+
+def test_batch_memory_follows_the_block(spark, monkeypatch):
+    sizes = []
+    block = dense._block_top_k
+    monkeypatch.setattr(dense, "_block_top_k", lambda found, names, q, *a: sizes.append(q.size) or block(found, names, q, *a))
+    q = spark.range(40_000).selectExpr("id as query_id", "array_repeat(cast(id as float), 64) as q")
+    dense.batch_top_k(q.limit(3).selectExpr("query_id as id", "q as vector"), q, 1)
+    assert sum(sizes) == 40_000 * 64 and max(sizes) <= 1_000_000 and len(sizes) == 3
+    # Equal vectors are all hits of every query; they aren't held at once.
+    exact, seen = dense._exact, []
+    monkeypatch.setattr(dense, "_exact", lambda m, x, q: seen.append(x.size) or exact(m, x, q))
+    best = dense._Nearest(np.ones((512, 64)), 10, "l2", pa.int64())
+    best.add(pa.array(range(4096)), np.ones((4096, 64)))
+    assert max(seen) <= 1_000_000
+    assert best.held.n_new <= 2 * 10 * 512 + 50_000 and best.held.table.num_rows <= 5120
+
+
 def test_cells_of_a_batch(spark):
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(20, 12))
