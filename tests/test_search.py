@@ -163,6 +163,31 @@ def test_sparse_golden(spark):
     assert ids(sparse.search_sparse(df, many, 1)) == ["doc2"]
 
 
+def test_sparse_batch_blocks_and_ties(spark, monkeypatch):
+    kind = "sparse array<struct<dim:bigint,weight:double>>"
+    rng = np.random.default_rng(1)
+    rows = [(i, {int(d): float(w) / 2 for d, w in zip(rng.integers(0, 30, 5), rng.integers(-3, 4, rng.integers(0, 6)))}) for i in range(200)]
+    df = spark.createDataFrame([(i, list(r.items())) for i, r in rows] + [(999, None)], f"id int, {kind}").repartition(3)
+    want = {}
+    for i, q in rows:
+        scores = sorted((-sum(q[d] * x[d] for d in q if d in x), j) for j, x in rows if set(q) & set(x))
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(scores[:5])}
+    for most in (500_000, 40):
+        found = sparse.batch_top_k(df, df.selectExpr("id as query_id", "sparse"), 5, max_query_pairs=most)
+        assert {(r.query_id, r["rank"]): (r.id, r.score) for r in found.collect()} == want
+    # Record 9 is better by far less than nine places show, and NaN is not found.
+    near = spark.createDataFrame([(3, [(0, 1.0)]), (9, [(0, 1.0 + 1e-11)]), (5, [(0, math.nan)]), (6, [(0, 0.5)])], f"id int, {kind}").coalesce(1)
+    q = spark.createDataFrame([(0, [(0, 1.0), (0, 7.0)])], f"query_id int, {kind}")
+    for k in (1, 2, 3):
+        assert [r.id for r in sparse.batch_top_k(near, q, k).orderBy("rank").collect()] == [3, 9, 6][:k]
+    # By default a block has 500,000 pairs at most, in arrays.
+    many = spark.range(30_000).selectExpr("id as query_id", "transform(sequence(0, 39), d -> struct(cast(d as bigint) as dim, 1D as weight)) as sparse")
+    sizes, blocks = [], sparse._query_blocks
+    monkeypatch.setattr(sparse, "_query_blocks", lambda *a: (sizes.append(len(b[3])) or b for b in blocks(*a)))
+    sparse.batch_top_k(near, many, 1)
+    assert sum(sizes) == 1_200_000 and max(sizes) <= 500_000
+
+
 @pytest.fixture(scope="module")
 def hybrid(spark):
     texts = ["the quick brown fox jumps over the lazy dog [animal]", "machine learning algorithms for vector databases [tech]", "rust programming language is fast and safe [tech]", "cooking recipes for delicious apple pie [food]", "deep learning models and neural networks [tech]"]

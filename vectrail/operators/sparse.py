@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import sparse_literal
-from .dense import predicate
+from .dense import PLACES, Held, for_blocks, predicate, query_values
 
 
 def postings(records: DataFrame, id_col: str = "id", sparse_col: str = "sparse") -> DataFrame:
@@ -69,62 +69,119 @@ def batch_search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "id
 
 
 def _ranked(scores: DataFrame, k: int, id_col: str, query_id: str) -> DataFrame:
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
+    # A sum's last bits follow the order of its terms.
+    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", PLACES)), F.asc(id_col))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_id: str = "query_id", sparse_col: str = "sparse", max_query_pairs: int = 2_000_000) -> DataFrame:
+def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_id: str = "query_id", sparse_col: str = "sparse", max_query_pairs: int = 500_000) -> DataFrame:
     """The same from the records: queries go to the scan tasks in blocks of at
     most ``max_query_pairs`` pairs, which multiply them with the batches over the
-    block's dimensions and send k rows a query and batch.  No pair of a record
-    and a query is shuffled unless it is among them, however common a dimension."""
+    block's dimensions and send k rows a query and task.  No pair of a record
+    and a query is shuffled unless it is among them, however common a dimension.
+    What a task holds follows the block and k, not the tables."""
     if k <= 0:
         raise ValueError("k must be positive")
     schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, records.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-    held = records.filter(F.size(sparse_col) > 0).select(id_col, F.transform(sparse_col, lambda p: p["dim"]).alias("d"), F.transform(sparse_col, lambda p: p["weight"].cast("double")).alias("w"))
+    asked = queries.select(query_id, *_pairs(sparse_col))
+    pairs = query_values(asked)
+    held = for_blocks(records.filter(F.size(sparse_col) > 0).select(id_col, *_pairs(sparse_col)), pairs, max_query_pairs)
 
-    def scan(names: list, rows: list[list[tuple[int, float]]]) -> DataFrame:
-        dims = np.unique(np.array([d for r in rows for d, _ in r], np.int64))
-        block = records.sparkSession.sparkContext.broadcast((names, rows, dims))  # at most max_query_pairs pairs, or one query
+    def scan(names: pa.Array, ends: np.ndarray, dim: np.ndarray, weight: np.ndarray) -> DataFrame:
+        dims, at = np.unique(dim, return_inverse=True)
+        block = records.sparkSession.sparkContext.broadcast((names, ends, dims, at.astype(np.int32), weight))  # at most max_query_pairs pairs, or one query
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, rows, dims = block.value
-            step = max(1, 4_000_000 // max(1, len(dims)))
+            names, ends, dims, at, weight = block.value
+            step = max(1, min(2048, 1_000_000 // max(1, len(dims))))
+            some = max(1, min(256, 1_000_000 // max(1, len(dims))))
+            best, edge = Held(len(names), k, kinds[1]), np.full(len(names), -np.inf)
             for b in batches:
                 for first in range(0, b.num_rows, step):
                     part = b.slice(first, step)
+                    ids = part.column(0).cast(kinds[1])
                     x, there = _matrix(part.column(1), part.column(2), dims)
-                    for q in range(0, len(rows), 256):
-                        some = rows[q : q + 256]
-                        y, asked = np.zeros((len(some), len(dims))), np.zeros((len(some), len(dims)), np.float32)
-                        for i, r in enumerate(some):
-                            at = np.searchsorted(dims, [d for d, _ in r])
-                            y[i, at], asked[i, at] = [w for _, w in r], 1
-                        score = np.where(asked @ there.T > 0, y @ x.T, -np.inf)
-                        take = min(k, score.shape[1])
-                        edge = -np.partition(-score, take - 1, axis=1)[:, take - 1]
-                        # Ties, to rounding, all stay.
-                        i, j = np.nonzero((score >= edge[:, None] - 1e-9 * np.abs(np.nan_to_num(edge, neginf=0.0))[:, None]) & (score > -np.inf))
-                        yield pa.RecordBatch.from_arrays([pa.array([names[q + n] for n in i.tolist()], kinds[0]), part.column(0).cast(kinds[1]).take(pa.array(j)), pa.array(score[i, j])], names=schema.names)
+                    for q in range(0, len(names), some):
+                        bounds = ends[q : q + some + 1]
+                        n, own = len(bounds) - 1, slice(bounds[0], bounds[-1])
+                        row = np.repeat(np.arange(n), np.diff(bounds))
+                        y, has = np.zeros((n, len(dims))), np.zeros((n, len(dims)), np.float32)
+                        y[row, at[own]], has[row, at[own]] = weight[own], 1
+                        score = y @ x.T
+                        score[(has @ there.T == 0) | np.isnan(score)] = -np.inf
+                        if score.shape[1] >= k:
+                            kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                            edge[q : q + n] = np.maximum(edge[q : q + n], kth)
+                        low = edge[q : q + n]
+                        # Ties, to the places that count and to rounding, all stay.
+                        i, j = np.nonzero((score >= (low - 2 * 10.0**-PLACES - 1e-9 * np.abs(np.nan_to_num(low, neginf=0.0)))[:, None]) & (score > -np.inf))
+                        if best.push(q + i, -score[i, j], ids.take(pa.array(j))):
+                            full, d = best.kth()
+                            edge[full] = np.maximum(edge[full], -d)
+            yield from best.batches(names, schema.names, -1.0)
 
         return held.mapInArrow(run, schema)
 
-    out, names, rows, pairs = None, [], [], 0
-    for name, own in queries.select(query_id, sparse_col).toLocalIterator():
-        own = sparse_literal([(p["dim"], p["weight"]) for p in own or ()])
-        if rows and pairs + len(own) > max_query_pairs:
-            part = scan(names, rows)
-            out, names, rows, pairs = part if out is None else out.unionAll(part), [], [], 0
-        names.append(name)
-        rows.append(own)
-        pairs += len(own)
-    if rows or out is None:
-        part = scan(names, rows)
+    out = None
+    for names, ends, dim, weight in _query_blocks(asked, kinds[0], max_query_pairs):
+        part = scan(names, ends, dim, weight)
         out = part if out is None else out.unionAll(part)
     return _ranked(out, k, id_col, query_id)
 
 
+def _pairs(sparse_col: str) -> list[Column]:
+    """Dimensions and weights as lists."""
+    return [F.transform(sparse_col, lambda p: p["dim"].cast("bigint")).alias("d"), F.transform(sparse_col, lambda p: p["weight"].cast("double")).alias("w")]
+
+
+def _query_blocks(queries: DataFrame, kind: pa.DataType, most: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, where their pairs begin and end, dimensions, weights), block by block;
+    one empty block if there are no queries.  A dimension keeps its first weight."""
+    schema = T.StructType([T.StructField("names", T.ArrayType(queries.schema[0].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("size", "d", "w")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = [b.column(i).fill_null([]) if b.column(i).null_count else b.column(i) for i in (1, 2)]
+            size = np.diff(lists[0].offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            d, w = lists[0].flatten().to_numpy(zero_copy_only=False), lists[1].flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((np.arange(len(d)), d, row))
+            row, d, w = row[order], d[order], w[order]
+            first = np.ones(len(d), bool)
+            first[1:] = (row[1:] != row[:-1]) | (d[1:] != d[:-1])
+            row, d, w = row[first], d[first].astype(np.int64), w[first].astype(float)
+            names, size = b.column(0).cast(kind), np.bincount(row, minlength=len(size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), *[pa.array([v.tobytes()], pa.binary()) for v in (size, d, w)]], names=schema.names)
+
+    names, sizes, parts = [], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0))]
+    for r in queries.mapInArrow(run, schema).toLocalIterator():
+        d, w = np.frombuffer(r["d"], np.int64), np.frombuffer(r["w"])
+        if (d < 0).any() or not np.isfinite(w).all():
+            raise ValueError("sparse vector: dimensions from 0 and finite weights")
+        names.extend(r["names"])
+        sizes.append(np.frombuffer(r["size"], np.int64))
+        parts.append((d, w))
+        size = np.concatenate(sizes)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        if ends[-1] <= most:
+            continue
+        d, w = (np.concatenate(x) for x in zip(*parts))
+        begin = 0
+        while ends[-1] - ends[begin] > most and len(names) - begin > 1:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+            own = slice(ends[begin], ends[end])
+            yield pa.array(names[begin:end], kind), ends[begin : end + 1] - ends[begin], d[own].copy(), w[own].copy()
+            begin = end
+            if begin == len(names):
+                break
+        names, sizes, parts = names[begin:], [size[begin:]], [(d[ends[begin] :].copy(), w[ends[begin] :].copy())]
+    d, w = (np.concatenate(x) for x in zip(*parts))
+    yield pa.array(names, kind), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), d, w
+
+
 def _matrix(dim: pa.Array, weight: pa.Array, dims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of a batch over some dimensions, and which are there."""
     row = np.repeat(np.arange(len(dim)), np.diff(dim.offsets.to_numpy()))
