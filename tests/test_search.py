@@ -188,6 +188,24 @@ def test_sparse_batch_blocks_and_ties(spark, monkeypatch):
     assert sum(sizes) == 1_200_000 and max(sizes) <= 500_000
 
 
+def test_encodings_are_made_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [rng.normal(size=(n, 16)) for n in rng.integers(0, 5, 2000)]
+    df = spark.createDataFrame([(i, d.tolist()) for i, d in enumerate(docs)] + [(9999, None)], "id int, multi array<array<double>>").coalesce(1)
+    config = multivector.EncodingConfig(20, 2, None)
+    encoder = multivector.Encoder(16, config)
+    want = np.array([encoder.encode(d, False) for d in [*docs, docs[0][:0]]])
+    got = multivector.encode_documents(df, 16, config).orderBy("id").collect()
+    assert np.allclose(np.array([r.fde for r in got]), want, atol=1e-6) and len(got) == 2001
+    # What is made at once is 1,000,000 numbers, however large Arrow's batch.
+    caught = []
+    monkeypatch.setattr(multivector.F, "arrow_udf", lambda kind: lambda f: caught.append(f) or (lambda c: c))
+    multivector.encode_documents(df, 16, config)
+    batch = pa.array([[[1.0] * 16]] * 2000)
+    parts = list(caught[0](iter([batch, batch])))
+    assert sum(map(len, parts)) == 4000 and max(len(p.values) for p in parts) <= 1_000_000
+
+
 @pytest.fixture(scope="module")
 def hybrid(spark):
     texts = ["the quick brown fox jumps over the lazy dog [animal]", "machine learning algorithms for vector databases [tech]", "rust programming language is fast and safe [tech]", "cooking recipes for delicious apple pie [food]", "deep learning models and neural networks [tech]"]

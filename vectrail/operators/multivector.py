@@ -136,28 +136,47 @@ class Encoder:
         self.down = None if d is None else np.random.default_rng(config.seed + 1_000_000).standard_normal((token_dim, d)) / math.sqrt(d)
 
     def encode(self, tokens: np.ndarray, query: bool) -> np.ndarray:
+        return self.encode_many(tokens, np.zeros(len(tokens), int), 1, query)[0]
+
+    def encode_many(self, tokens: np.ndarray, owner: np.ndarray, n: int, query: bool) -> np.ndarray:
+        """A row for each of n records; ``owner``: the record of each token."""
         c = self.config
-        width = c.projection or self.token_dim
-        out = np.zeros((c.repetitions, 2**c.partition_bits, width))
+        width, buckets = c.projection or self.token_dim, 2**c.partition_bits
+        out = np.zeros((n, c.repetitions, buckets, width))
         if len(tokens):
             x = tokens if self.down is None else tokens @ self.down
             power = 1 << np.arange(c.partition_bits - 1, -1, -1)
             for r, planes in enumerate(self.planes):
                 code = ((tokens @ planes) > 0) @ power
                 bucket = code ^ (code >> 1)
-                np.add.at(out[r], bucket, x)
+                # Tokens by bucket, in their own order; sums of the runs.
+                at = owner * buckets + bucket
+                order = np.argsort(at, kind="stable")
+                start = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0)))
+                total = np.add.reduceat(x[order], start, axis=0)
                 if not query:
-                    out[r] /= np.maximum(1, np.bincount(bucket, minlength=2**c.partition_bits))[:, None]
-        return out.ravel()
+                    total /= np.diff(np.append(start, len(at)))[:, None]
+                out[owner[order[start]], r, bucket[order[start]]] = total
+        return out.reshape(n, -1)
 
 
 def encode_documents(records: DataFrame, token_dim: int, config: EncodingConfig = EncodingConfig(), multi_col: str = "multi", out_col: str = "fde") -> DataFrame:
-    """``records`` with their encodings."""
+    """``records`` with their encodings, made in slices of about 1,000,000
+    numbers, so that a task's memory follows neither Arrow's batches nor the
+    encodings' width.  A single record is not cut."""
     encoder = Encoder(token_dim, config)
+    step = max(1, 1_000_000 // config.dimension(token_dim))
 
-    @F.pandas_udf("array<float>")
-    def encode(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: encoder.encode(np.array(list(t), float).reshape(-1, token_dim) if t is not None and len(t) else np.zeros((0, token_dim)), False).astype(np.float32))
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for first in range(0, len(b), step):
+                tokens = _matrices(b.slice(first, step))
+                owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                some = [t.reshape(-1, token_dim) for t in tokens if len(t)]
+                codes = encoder.encode_many(np.concatenate(some) if some else np.zeros((0, token_dim)), owner, len(tokens), False)
+                ends = np.arange(len(tokens) + 1, dtype=np.int32) * np.int32(codes.shape[1])
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.astype(np.float32).ravel()))
 
     return records.withColumn(out_col, encode(F.col(multi_col)))
 
